@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import simhash_dedup
+from corvane.llm import secret_scan, simhash_dedup, url_filter
 from corvane.llm.common import table
 
 QUERIES: dict = {}
@@ -21,3 +21,69 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+#: The rules of op4, and the names of sites whose crawled URLs make up its list.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+LISTED_SITES = ("casino-win", "free-bets", "spam-farm")
+
+
+@register
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page: the list has the canonical URL of each page crawled from a listed site."""
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.where(url_filter.host_of(F.col("url")).rlike(f"(^|[.])({'|'.join(LISTED_SITES)})[.]")).select("url")
+    found = url_filter.judge(pages, listed, URL_RULES)
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+ORACLES["op4_url_filter"] = """
+WITH a AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1) AS query FROM a),
+c AS (
+  SELECT *, array_to_string(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref)(=|$)')), '&') AS kept FROM b),
+d AS (
+  SELECT page_id, host, path, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)[.]', '') || regexp_replace(path, '/+$', '')
+         || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canon FROM c),
+listed AS (SELECT DISTINCT canon FROM d WHERE regexp_matches(host, '(^|[.])(casino-win|free-bets|spam-farm)[.]')),
+r AS (
+  SELECT d.*, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                   WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                   WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM d)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN canon IN (SELECT canon FROM listed WHERE canon IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict
+FROM r"""
+
+
+@register
+def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, scanned once for each different text."""
+    return secret_scan.digests(secret_scan.scan_versions(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op9_secret_ledger"] = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+p(k, kind, pat, grp, least) AS (VALUES
+  (0, 'assign', '(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+  (1, 'access', 'AKIA[A-Z0-9]+', 0, 20), (2, 'hex', '[0-9a-f]{24,}', 0, 24)),
+m AS (
+  SELECT rid, 0 AS k, 'assign' AS kind, 6 AS least, string_split_regex(text, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?(?:[A-Za-z0-9+/_.=-]+)') AS parts,
+         regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS hits,
+         regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS tested FROM d
+  UNION ALL
+  SELECT rid, 1, 'access', 20, string_split_regex(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0) FROM d
+  UNION ALL
+  SELECT rid, 2, 'hex', 24, string_split_regex(text, '[0-9a-f]{24,}'), regexp_extract_all(text, '[0-9a-f]{24,}', 0), regexp_extract_all(text, '[0-9a-f]{24,}', 0) FROM d),
+e AS (SELECT rid, k, kind, least, unnest(range(1, len(hits) + 1)) AS i, parts, hits, tested FROM m),
+f AS (SELECT rid, k, kind, least, i, length(parts[i]) AS before, length(hits[i]) AS size, length(tested[i]) AS tested FROM e),
+g AS (SELECT *, sum(before + size) OVER (PARTITION BY rid, k ORDER BY i) AS stop FROM f),
+h AS (
+  SELECT rid, CAST(count(*) FILTER (kind = 'assign') AS BIGINT) AS n_assign, CAST(count(*) FILTER (kind = 'access') AS BIGINT) AS n_access, CAST(count(*) FILTER (kind = 'hex') AS BIGINT) AS n_hex,
+         string_agg(kind || ':' || CAST(CAST(stop - size AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY stop - size, k) AS spans FROM g WHERE tested >= least GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN h USING (rid)""".replace("\\\\x20", "\\x20")
