@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import secret_scan, simhash_dedup, url_filter
-from corvane.llm.common import table
+from corvane.llm import huffman_ids, packing, secret_scan, simhash_dedup, url_filter
+from corvane.llm.common import Scratch, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,23 @@ h AS (
          string_agg(kind || ':' || CAST(CAST(stop - size AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY stop - size, k) AS spans FROM g WHERE tested >= least GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN h USING (rid)""".replace("\\\\x20", "\\x20")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register
+def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and offset of every piece of every document."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
+@register
+def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, read back from the store they were written to."""
+    path = Scratch(spark, "store").root
+    huffman_ids.write_store(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return huffman_ids.read_store(spark, path).withColumnRenamed("id", "doc_id")
