@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import huffman_ids, packing, secret_scan, simhash_dedup, url_filter
+from corvane.llm import compaction, huffman_ids, language_id, maxscore, packing, quote_linking, secret_scan, simhash_dedup, url_filter
 from corvane.llm.common import Scratch, table
 
 QUERIES: dict = {}
@@ -107,3 +107,54 @@ def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "store").root
     huffman_ids.write_store(table(spark, sf_dir, "documents"), path, tokenizer_path())
     return huffman_ids.read_store(spark, path).withColumnRenamed("id", "doc_id")
+
+
+@register
+def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotes, with its place in reply order."""
+    return quote_linking.conversations(table(spark, sf_dir, "conversations"))
+
+
+#: The oracle holds where no message has a quote mark, as in the driver's tables; quotes are tested on fixtures.
+ORACLES["op1_quote_linking"] = """
+SELECT conv_id, turn, role, trim(coalesce(text, '')) AS body, CAST(0 AS BIGINT) AS n_quotes, CAST(0 AS BIGINT) AS n_linked,
+       CAST(NULL AS BIGINT) AS parent_turn, turn AS root_turn, 0 AS depth FROM conversations"""
+
+
+@register
+def op2_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as read back from the compacted store, with the version that holds it."""
+    store = compaction.Store(spark, Scratch(spark, "compaction").root)
+    store.append(table(spark, sf_dir, "documents"))
+    store.compact()
+    return compaction.file_digest(store.read()).withColumn("compacted", F.lit(store.version() > 0))
+
+
+ORACLES["op2_size_tiered_compaction"] = """
+SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes, md5(coalesce(text, '')) AS text_md5, true AS compacted FROM documents"""
+
+
+@register
+def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best vectors of every fiftieth one."""
+    vectors = maxscore.quantised(table(spark, sf_dir, "embeddings"))
+    return maxscore.top_k(vectors, vectors.where("id % 50 = 0")).withColumnRenamed("id", "vec_id")
+
+
+ORACLES["op6_maxscore"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.v, v.v) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
+
+
+@register
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three of four folds."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.train(docs))
+    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
