@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import compaction, huffman_ids, language_id, maxscore, packing, quote_linking, secret_scan, simhash_dedup, url_filter
+from corvane.llm import compaction, decontaminate, huffman_ids, language_id, maxscore, packing, quote_linking, secret_scan, simhash_dedup, url_filter
 from corvane.llm.common import Scratch, table
 
 QUERIES: dict = {}
@@ -158,3 +158,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.train(docs))
     return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, and which."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
