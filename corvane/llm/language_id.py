@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 BUCKETS, SAMPLE, STEP = 1 << 12, 600, 1 << 20
 #: Families of languages.
@@ -134,17 +134,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(np.array([np.frombuffer(r[1], "<u4") for r in rows]).reshape(len(rows), BUCKETS), [r[0] for r in rows])
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(*columns of `keep` or id, lang_pred, score) of every row; the prediction sees the text alone."""
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of `keep` (by default the id) and the prediction of every row, which sees the text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few weights for each pair of languages
     own = list(keep) or [id_col]
+    at = own.index(text_col) if text_col in own else len(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = shared.value
         for b in batches:
-            found = [told.predict(trigram_counts(x)) if (x := v.as_py()) and LETTER.search(x) else ("und", 0.0) for v in b.column(len(own))]
+            found = [told.predict(trigram_counts(x)) if (x := v.as_py()) and LETTER.search(x) else ("und", 0.0) for v in b.column(at)]
             cols = [*(b.column(k) for k in range(len(own))), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, [*own, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(cols, [*own, *names])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    return docs.select(*own, F.col(text_col).alias("_text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    rows = docs.select(*own, *([F.col(text_col).alias("_text")] if at == len(own) else []))
+    kinds = T.StructType([*docs.select(*own).schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return rows.mapInArrow(run, kinds)

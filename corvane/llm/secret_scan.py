@@ -113,3 +113,33 @@ def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
     spans = F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     counts = [F.expr(f"CAST(size(filter(findings, x -> x.k = {k})) AS bigint)").alias(f"n_{kind}") for k, (kind, *_) in enumerate(RULES)]
     return rows.select(key, *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def redact(docs: DataFrame, key: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """All rows and columns, with each secret replaced by `[kind]`; overlapping spans are one, of the first kind.
+
+    The length column, where there is one, gets the new text's length in changed rows.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "redact")
+    ledger = BlobLedger(spark, scratch.path("ledger"))
+    ledger.update(content_address(docs.select(key, F.col(text_col).alias("text"))), key)
+    found = ledger.findings().withColumnsRenamed({"blob_id": "_blob", "findings": "_findings"})
+    joined = docs.withColumn("_at", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(found, F.col("_at") == F.col("_blob"), "left")
+    pieces = (
+        "aggregate(_findings, struct(0L AS pos, CAST(array() AS array<string>) AS out), (a, x) -> IF(x.start < a.pos, struct(greatest(a.pos, x.end) AS pos, a.out AS out), "
+        f"struct(x.end AS pos, concat(a.out, array(substring(`{text_col}`, CAST(a.pos + 1 AS int), CAST(x.start - a.pos AS int)), concat('[', x.kind, ']'))) AS out)), "
+        f"a -> concat(array_join(a.out, ''), substring(`{text_col}`, CAST(a.pos + 1 AS int))))"
+    )
+    changed = F.col("_findings").isNotNull()
+    text = F.when(changed, F.expr(pieces)).otherwise(F.col(text_col))
+    out = joined.withColumn("_text", text)
+    cols = []
+    for c, kind in docs.dtypes:
+        if c == text_col:
+            cols.append(F.col("_text").alias(c))
+        elif c == length_col:
+            cols.append(F.when(changed, F.length("_text").cast(kind)).otherwise(F.col(c)).alias(c))
+        else:
+            cols.append(F.col(c))
+    return out.select(*cols)
