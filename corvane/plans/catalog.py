@@ -2,32 +2,512 @@
 
 from __future__ import annotations
 
-from corvane.sources.fixtures import documents_as_files, table
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from corvane.functions import scalars as S
+from corvane.operators import filters, graph, knowledge, metrics, search
+from corvane.sources.fixtures import CTES, WIKI, documents_as_files, relation, table
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
+CODE, BASE = f"WITH {CTES} ", f"WITH {WIKI} "
+#: folders before files: a path's components in order
+PARTS = "string_split(path, '/')"
 
-def register(name: str, sql: str | None = None):
-    """Register a query under `name`, with the oracle statement where SQL has one."""
+
+def register(sql: str | None = None):
+    """Register a query under its function's name, with the oracle statement where SQL has one."""
 
     def add(f):
-        QUERIES[name] = f
+        QUERIES[f.__name__] = f
         if sql:
-            ORACLES[name] = sql
+            ORACLES[f.__name__] = sql
         return f
 
     return add
 
 
+class Code:
+    """The source-tree relations of one scale folder, read when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, ctes: str = CTES):
+        self._of = lambda name: relation(spark, sf_dir, name, ctes)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._of(name)
+
+
+def base(spark: SparkSession, sf_dir: str) -> Code:
+    return Code(spark, sf_dir, WIKI)
+
+
+# ---- statistics and token costs ------------------------------------------------------------------
+
+DOC_FILES = """WITH files AS (
+  SELECT source AS member, source || '/' || lang || '/doc_' || CAST(doc_id AS VARCHAR) || '.md' AS path, strlen(coalesce(text, '')) AS size,
+         CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(regexp_replace(text, '\\n$', '')) - length(replace(regexp_replace(text, '\\n$', ''), chr(10), '')) + 1 END AS BIGINT) AS lines, text FROM documents) """
+
+
+@register(DOC_FILES + "SELECT member AS scope, count(*) AS files, CAST(sum((size + 3) // 4) AS BIGINT) AS tokens, CAST(sum(lines) AS BIGINT) AS lines FROM files GROUP BY member")
+def token_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, tokens and lines of every member."""
+    return documents_as_files(table(spark, sf_dir, "documents")).groupBy(F.col("member").alias("scope")).agg(F.count("*").alias("files"), F.sum(F.expr("(size + 3) div 4")).alias("tokens"), F.sum("lines").alias("lines"))
+
+
 @register(
-    "token_scope",
-    """SELECT source AS scope, count(*) AS files, sum(CAST((strlen(text) + 3) // 4 AS BIGINT)) AS tokens
-       FROM documents GROUP BY source""",
+    CODE
+    + """, t AS (
+  SELECT path, 15 + (strlen(path) + 3) // 4 AS t FROM files UNION ALL SELECT path, 3 + (strlen(text) + 3) // 4 FROM imports
+  UNION ALL SELECT path, 3 + (strlen(signature) + 3) // 4 + CASE WHEN doc_comment IS NOT NULL THEN 2 + (strlen(doc_comment) + 3) // 4 ELSE 0 END + CASE WHEN line > 0 THEN 5 ELSE 0 END FROM decls
+  UNION ALL SELECT path, 3 + (strlen(target) + 3) // 4 FROM rels)
+SELECT path, CAST(sum(t) AS BIGINT) AS tokens FROM t GROUP BY path"""
 )
-def token_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every member: ceil(bytes / 4), summed."""
-    return documents_as_files(table(spark, sf_dir, "documents")).groupBy(F.col("member").alias("scope")).agg(
-        F.count("*").alias("files"), F.sum(F.expr("(size + 3) div 4")).alias("tokens")
+def token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Code(spark, sf_dir)
+    return metrics.index_tokens(c.decls, c.imports, c.rels, c.files)
+
+
+@register(CODE + "SELECT language, count(*) AS files, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY language")
+def lang_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.language_stats(Code(spark, sf_dir).files)
+
+
+@register(CODE + "SELECT member, language, grouping(member, language) AS level, count(*) AS files, CAST(sum(lines) AS BIGINT) AS lines FROM files GROUP BY ROLLUP (member, language)")
+def workspace_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.workspace_rollup(Code(spark, sf_dir).files)
+
+
+@register(
+    CODE
+    + """, s AS (SELECT string_split(path, '/') AS p FROM files), x AS (SELECT p, unnest(range(1, len(p))) AS depth FROM s)
+SELECT DISTINCT array_to_string(p[1:depth], '/') AS full_path, p[depth] AS name, true AS is_dir, CAST(depth AS INTEGER) AS depth FROM x
+UNION ALL SELECT array_to_string(p, '/'), p[len(p)], false, CAST(len(p) AS INTEGER) FROM s"""
+)
+def dir_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.dir_tree(Code(spark, sf_dir).files)
+
+
+@register(CODE + "SELECT path FROM files WHERE path = 'file_8.rs' OR ends_with(path, '/file_8.rs') ORDER BY string_split(path, '/') LIMIT 1")
+def find_file_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.find_file(Code(spark, sf_dir).files, "file_8.rs").select("path")
+
+
+@register(
+    CODE
+    + """, m AS (SELECT member, max(CASE WHEN path = 'src/m1/file_1.py' THEN 1 ELSE 0 END) AS exact, max(CASE WHEN ends_with(path, '/src/m1/file_1.py') THEN 1 ELSE 0 END) AS suffix FROM files GROUP BY member)
+SELECT member FROM m WHERE exact = 1 AND (SELECT sum(exact) FROM m) = 1 OR suffix = 1 AND (SELECT sum(exact) FROM m) = 0 AND (SELECT sum(suffix) FROM m) = 1"""
+)
+def resolve_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The member that has a path: exact before suffix, none if ambiguous."""
+    p = "src/m1/file_1.py"
+    m = Code(spark, sf_dir).files.groupBy("member").agg(F.max((F.col("path") == p).cast("int")).alias("exact"), F.max(F.endswith("path", F.lit(f"/{p}")).cast("int")).alias("suffix"))
+    n = m.agg(F.sum("exact").alias("ne"), F.sum("suffix").alias("ns"))
+    return m.join(n, on=F.lit(True), how="inner").where("exact = 1 AND ne = 1 OR suffix = 1 AND ne = 0 AND ns = 1").select("member")
+
+
+@register("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:3], chr(10)) AS body FROM documents WHERE len(string_split(text, chr(10))) >= 2")
+def read_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines 2 to 3 of every document that has line 2; the end is clamped."""
+    lines = F.split("text", "\n")
+    return table(spark, sf_dir, "documents").where(F.size(lines) >= 2).select("doc_id", F.array_join(F.slice(lines, 2, 2), "\n").alias("body"))
+
+
+# ---- filters -------------------------------------------------------------------------------------
+
+
+@register(CODE + "SELECT path, seq FROM decls WHERE string_split(path, '/')[1:2] = ['src', 'm3']")
+def filter_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.by_path(Code(spark, sf_dir).decls, "src/m3").select("path", "seq")
+
+
+TREE = CODE + ", a AS (SELECT path, seq, parent_seq AS up FROM decls WHERE parent_seq IS NOT NULL UNION ALL SELECT d.path, d.seq, u.parent_seq FROM decls d JOIN decls u ON d.path = u.path AND d.parent_seq = u.seq WHERE u.parent_seq IS NOT NULL) "
+
+
+@register(TREE + "SELECT path, seq FROM decls d WHERE kind = 'Function' OR EXISTS (SELECT 1 FROM a JOIN decls h ON a.path = h.path AND a.seq = h.seq WHERE h.kind = 'Function' AND a.path = d.path AND a.up = d.seq)")
+def filter_kind_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.by_kind(Code(spark, sf_dir).decls, "Function").select("path", "seq")
+
+
+@register(TREE + "SELECT path, seq FROM decls d WHERE visibility <> 'Private' AND NOT EXISTS (SELECT 1 FROM a JOIN decls u ON a.path = u.path AND a.up = u.seq WHERE u.visibility = 'Private' AND a.path = d.path AND a.seq = d.seq)")
+def filter_public_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.public_only(Code(spark, sf_dir).decls).select("path", "seq")
+
+
+@register(
+    TREE
+    + """, h AS (SELECT path, seq FROM decls WHERE contains(lower(name), 'ring'))
+SELECT path, seq FROM h UNION SELECT a.path, a.up FROM a JOIN h ON a.path = h.path AND a.seq = h.seq UNION SELECT a.path, a.seq FROM a JOIN h ON a.path = h.path AND a.up = h.seq"""
+)
+def filter_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.by_symbol(Code(spark, sf_dir).decls, "Ring").select("path", "seq")
+
+
+@register(CODE + ", f AS (SELECT path FROM files) SELECT path, regexp_full_match(path, '(.*/)?[^/]*_1[^/][.]rs') AS recursive, regexp_full_match(path, 'src/m[^/]/[^/]*') AS one_level, starts_with(path, 'src/m1/') AS folder FROM f")
+def glob_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    return Code(spark, sf_dir).files.select("path", S.glob_match(p, "*_1?.rs").alias("recursive"), S.glob_match(p, "src/m?/*").alias("one_level"), S.glob_match(p, "src/m1").alias("folder"))
+
+
+@register("SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])')")
+def word_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(S.word_boundary(F.col("text"), "the")).select("doc_id")
+
+
+@register(
+    "SELECT name AS path, CASE WHEN name IN ('Dockerfile', 'Makefile', 'Justfile') THEN NULL WHEN name IN ('Cargo.toml') THEN 'TOML' WHEN name IN ('package.json') THEN 'JSON' WHEN name IN ('Gemfile') THEN 'Ruby' WHEN name = 'CMakeLists.txt' THEN 'CMake' "
+    "ELSE CASE regexp_extract(name, '[.]([^.]+)$', 1) WHEN 'rs' THEN 'Rust' WHEN 'py' THEN 'Python' WHEN 'ts' THEN 'TypeScript' WHEN 'go' THEN 'Go' WHEN 'md' THEN 'Markdown' END END AS language "
+    "FROM (SELECT CASE p_partkey % 9 WHEN 0 THEN 'Dockerfile' WHEN 1 THEN 'Cargo.toml' WHEN 2 THEN 'package.json' WHEN 3 THEN 'Gemfile' WHEN 4 THEN 'CMakeLists.txt' WHEN 5 THEN 'a' || p_partkey || '.rs' WHEN 6 THEN 'b.x.py' WHEN 7 THEN 'noext' ELSE 'c.ts' END AS name FROM part)"
+)
+def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of file names, whole names before extensions."""
+    from corvane.sources.languages import detect
+
+    names = table(spark, sf_dir, "part").select(
+        F.expr("CASE p_partkey % 9 WHEN 0 THEN 'Dockerfile' WHEN 1 THEN 'Cargo.toml' WHEN 2 THEN 'package.json' WHEN 3 THEN 'Gemfile' WHEN 4 THEN 'CMakeLists.txt' WHEN 5 THEN 'a' || p_partkey || '.rs' WHEN 6 THEN 'b.x.py' WHEN 7 THEN 'noext' ELSE 'c.ts' END").alias("path")
     )
+    return names.select("path", detect(F.col("path")).alias("language"))
+
+
+# ---- searches ------------------------------------------------------------------------------------
+
+ORDER = "ORDER BY member, string_split(path, '/'), seq"
+
+
+@register(CODE + f"SELECT path, seq, name, kind, line FROM decls WHERE contains(lower(name), 'widget') {ORDER} LIMIT 50")
+def lookup_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.lookup_symbol(Code(spark, sf_dir).decls, "Widget").select("path", "seq", "name", "kind", "line")
+
+
+@register(CODE + f"SELECT path, seq, signature FROM decls WHERE contains(lower(signature), 'option<ring') {ORDER} LIMIT 20")
+def search_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_signatures(Code(spark, sf_dir).decls, "Option<Ring").select("path", "seq", "signature")
+
+
+SCORE = """(CASE WHEN contains({x}, 'red ring') THEN 10 + CASE WHEN {x} = 'red ring' THEN 20 ELSE 0 END ELSE 0 END + CASE WHEN contains({x}, 'red') THEN 5 ELSE 0 END + CASE WHEN contains({x}, 'ring') THEN 5 ELSE 0 END
+  + CASE WHEN list_contains(regexp_split_to_array({x}, '[_./-]'), 'red') THEN 3 ELSE 0 END + CASE WHEN list_contains(regexp_split_to_array({x}, '[_./-]'), 'ring') THEN 3 ELSE 0 END)"""
+BIGRAMS = "list_distinct(list_transform(range(1, length({x})), lambda i: substr({x}, i, 2)))"
+DICE = f"(2.0 * len(list_intersect({BIGRAMS}, {BIGRAMS.format(x=chr(39) + 'red ring' + chr(39))})) / (len({BIGRAMS}) + len({BIGRAMS.format(x=chr(39) + 'red ring' + chr(39))})))"
+
+
+def _scored(x: str) -> str:
+    s, d = SCORE.format(x=x), DICE.format(x=x)
+    return f"CASE WHEN {x} IS NULL OR {x} = '' THEN 0 WHEN {s} > 0 THEN {s} WHEN length({x}) >= 2 AND {d} > 0.4 THEN CAST(floor({d} * 8) AS BIGINT) ELSE 0 END"
+
+
+@register(
+    CODE
+    + f""", s AS (SELECT *, {_scored('lower(name)')} AS a, {_scored('lower(signature)')} AS b, {_scored('lower(doc_comment)')} AS c FROM decls),
+t AS (SELECT *, 3 * a + 2 * b + c AS raw FROM s),
+r AS (
+  SELECT member, path, 1 AS after, seq, name, CASE kind WHEN 'Function' THEN 'fn' WHEN 'Method' THEN 'fn' WHEN 'Constant' THEN 'const' ELSE lower(kind) END AS kind, line,
+         array_to_string(list_filter([CASE WHEN a > 0 THEN 'name' END, CASE WHEN b > 0 THEN 'signature' END, CASE WHEN c > 0 THEN 'doc' END], lambda x: x IS NOT NULL), '+') AS match_on,
+         CAST(raw + CASE WHEN visibility = 'Public' THEN 5 ELSE 0 END AS BIGINT) AS score FROM t WHERE raw > 0
+  UNION ALL SELECT member, path, 0, NULL, NULL, NULL, NULL, 'path', CAST({_scored('lower(path)')} AS BIGINT) FROM files WHERE {_scored('lower(path)')} > 0)
+SELECT path, name, kind, line, match_on, score FROM r ORDER BY score DESC, member, string_split(path, '/'), after, seq LIMIT 20"""
+)
+def search_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Code(spark, sf_dir)
+    return search.search_relevant(c.decls, c.files, "Red Ring")
+
+
+@register(
+    CODE
+    + """, u AS (SELECT member, path, 0 AS after, ord AS seq, 'import' AS match_type, text AS context FROM imports WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])file_9($|[^A-Za-z0-9_])')
+  UNION ALL SELECT member, path, 1, seq, 'signature', signature FROM decls WHERE name <> 'file_9' AND regexp_matches(signature, '(^|[^A-Za-z0-9_])file_9($|[^A-Za-z0-9_])'))
+SELECT path, match_type, context FROM u ORDER BY member, string_split(path, '/'), after, seq LIMIT 20"""
+)
+def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Code(spark, sf_dir)
+    return search.callers(c.decls, c.imports, "file_9")
+
+
+@register(CODE + "SELECT path, seq, name, CASE WHEN path = 'src/m0/file_0.rs' THEN 'same_file' ELSE 'name_convention' END AS reason FROM decls WHERE is_test AND contains(lower(name), 'ring') ORDER BY path <> 'src/m0/file_0.rs', member, string_split(path, '/'), seq LIMIT 20")
+def related_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.related_tests(Code(spark, sf_dir).decls, "Ring", "m0/file_0.rs").select("path", "seq", "name", "reason")
+
+
+@register(CODE + f"SELECT path, seq, name FROM decls WHERE visibility = 'Public' AND starts_with(path, 'src/m1') {ORDER} LIMIT 100")
+def public_api(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.public_api(Code(spark, sf_dir).decls, "src/m1").select("path", "seq", "name")
+
+
+@register(
+    CODE
+    + f""", h AS (SELECT * FROM decls WHERE lower(name) = 'smallring' {ORDER} LIMIT 10),
+k AS (SELECT path, parent_seq, CASE kind WHEN 'Function' THEN 'fn' WHEN 'Method' THEN 'fn' WHEN 'Constant' THEN 'const' ELSE lower(kind) END AS k, count(*) AS n FROM decls WHERE parent_seq IS NOT NULL GROUP BY ALL),
+s AS (SELECT path, parent_seq, string_agg(n || ' ' || k, ', ' ORDER BY n || ' ' || k) AS children_summary FROM k GROUP BY ALL)
+SELECT h.path, h.seq, h.name, h.kind, h.visibility, children_summary FROM h LEFT JOIN s ON h.path = s.path AND h.seq = s.parent_seq"""
+)
+def explain_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.explain_symbol(Code(spark, sf_dir).decls, "SmallRing").select("path", "seq", "name", "kind", "visibility", "children_summary")
+
+
+@register(CODE + "SELECT path, CASE kind WHEN 'Function' THEN 'fn' WHEN 'Method' THEN 'fn' WHEN 'Constant' THEN 'const' ELSE lower(kind) END AS kind, count(*) AS n, count(*) FILTER (visibility = 'Public') AS n_public, bool_or(is_test) AS has_tests FROM decls GROUP BY ALL")
+def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.file_summary(Code(spark, sf_dir).decls)
+
+
+@register(CODE + "SELECT path, arg_min(text, ord) AS import FROM imports WHERE path <> 'src/m1/file_1.py' AND (contains(text, 'file_1') OR contains(text, 'src/m1/file_1')) GROUP BY path")
+def file_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Code(spark, sf_dir)
+    return search.imported_by(c.files, c.imports, "src/m1/file_1.py")
+
+
+@register(CODE + "SELECT path, 'sibling' AS relation FROM files WHERE path <> 'src/m1/file_1.py' AND regexp_replace(path, '/[^/]*$', '') = 'src/m1' ORDER BY string_split(path, '/') LIMIT 10")
+def related_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.related_files(Code(spark, sf_dir).files, "src/m1/file_1.py")
+
+
+# ---- graphs and differences ----------------------------------------------------------------------
+
+RESOLVED = """, b AS (SELECT path, ord, text, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(text, '^(use )*(import )*(from )*', ''), ';+$', '')), '::', '/', 'g'), '[.]', '/', 'g') AS n FROM imports),
+c AS (SELECT path, ord, text, list_filter(string_split(regexp_replace(regexp_replace(n, '^(crate/|super/|self/)', ''), '[)]*''*"*$', ''), '/'), lambda x: x <> '') AS s FROM b),
+d AS (SELECT path, ord, text, unnest(list_concat(list_transform(range(1, len(s) + 1), lambda i: array_to_string(s[i:], '/')), list_transform(range(len(s) - 1, 0, -1), lambda i: array_to_string(s[:i], '/')))) AS key,
+             generate_subscripts(list_concat(list_transform(range(1, len(s) + 1), lambda i: array_to_string(s[i:], '/')), list_transform(range(len(s) - 1, 0, -1), lambda i: array_to_string(s[:i], '/'))), 1) AS pos FROM c),
+f AS (SELECT path AS target, lower(path) AS low, regexp_replace(lower(path), '[.][^./]*$', '') AS bare FROM files),
+m AS (SELECT d.*, target, row_number() OVER (PARTITION BY d.path, ord, pos ORDER BY strlen(low), string_split(target, '/')) AS best
+      FROM d JOIN f ON strlen(key) >= 3 AND (ends_with(low, lower(key)) OR ends_with(bare, lower(key)) OR ends_with(bare, lower(key) || '/mod') OR ends_with(bare, lower(key) || '/index'))),
+resolved AS (SELECT path, ord, text, arg_min(target, pos) AS target FROM m WHERE best = 1 AND target <> path GROUP BY path, ord, text),
+edges AS (SELECT DISTINCT path AS src, target AS dst FROM resolved) """
+
+
+@register(CODE + RESOLVED + "SELECT path, ord, text, target FROM resolved")
+def import_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Code(spark, sf_dir)
+    return graph.resolve_imports(c.files, c.imports)
+
+
+@register(CODE + RESOLVED + "SELECT src, dst FROM edges")
+def file_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Code(spark, sf_dir)
+    return graph.file_graph(c.files, c.imports)
+
+
+@register(
+    CODE.replace("WITH", "WITH RECURSIVE", 1)
+    + RESOLVED
+    + """, w(id, hop) AS (SELECT DISTINCT src, 0 FROM edges WHERE contains(src, 'file_1.') UNION SELECT dst, hop + 1 FROM w JOIN edges ON src = id WHERE hop < 2)
+SELECT src, dst FROM edges WHERE src IN (SELECT id FROM w) AND dst IN (SELECT id FROM w)"""
+)
+def reach_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges within two hops of the files whose path has file_1."""
+    c = Code(spark, sf_dir)
+    edges = graph.file_graph(c.files, c.imports)
+    return graph.reach(edges, edges.where(F.contains("src", F.lit("file_1."))).select(F.col("src").alias("id")), 2)
+
+
+@register(
+    CODE.replace("WITH", "WITH RECURSIVE", 1)
+    + RESOLVED
+    + """, w(id) AS (SELECT DISTINCT src FROM edges WHERE contains(src, 'file_1.') UNION SELECT dst FROM w JOIN edges ON src = id)
+SELECT src, dst FROM edges WHERE src IN (SELECT id FROM w) AND dst IN (SELECT id FROM w)"""
+)
+def reach_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Code(spark, sf_dir)
+    edges = graph.file_graph(c.files, c.imports)
+    return graph.reach_all(spark, edges, edges.where(F.contains("src", F.lit("file_1."))).select(F.col("src").alias("id")))
+
+
+@register(CODE + RESOLVED + ", n AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges) SELECT id, 'n' || (row_number() OVER (ORDER BY id) - 1) AS node FROM n")
+def mermaid_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Code(spark, sf_dir)
+    return graph.mermaid_nodes(graph.file_graph(c.files, c.imports))
+
+
+SYMBOLS = ", n AS (SELECT *, row_number() OVER (PARTITION BY path, name ORDER BY seq) AS i FROM decls), s AS (SELECT *, path || '::' || name || CASE WHEN i > 1 THEN '#' || i ELSE '' END AS id FROM n) "
+
+
+@register(CODE + SYMBOLS + "SELECT path, seq, id FROM s")
+def symbol_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.symbols(Code(spark, sf_dir).decls).select("path", "seq", "id")
+
+
+@register(
+    CODE
+    + SYMBOLS
+    + """SELECT DISTINCT s.id AS src, t.id AS dst, r.kind FROM s JOIN rels r ON s.path = r.path AND s.seq = r.seq JOIN s t ON t.name = r.target WHERE s.id <> t.id
+UNION SELECT s.id, t.id, 'References' FROM (SELECT id, unnest(list_distinct(regexp_extract_all(signature, '[A-Za-z0-9_]+'))) AS word FROM s) s
+JOIN s t ON t.name = word WHERE t.kind IN ('Struct', 'Enum', 'Trait') AND s.id <> t.id"""
+)
+def symbol_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships and type references between all symbols."""
+    c = Code(spark, sf_dir)
+    return graph.symbol_graph(c.decls, c.rels)
+
+
+@register(
+    CODE
+    + """, o AS (SELECT path, kind, name, arg_max(signature, seq) AS old_signature FROM decls WHERE depth <= 1 AND k % 11 <> 0 GROUP BY ALL),
+w AS (SELECT path, kind, name, arg_max(CASE WHEN k % 7 = 0 THEN signature || ' where' ELSE signature END, seq) AS new_signature FROM decls WHERE depth <= 1 AND k % 13 <> 0 GROUP BY ALL)
+SELECT path, kind, name, CASE WHEN old_signature IS NULL THEN 'added' WHEN new_signature IS NULL THEN 'removed' ELSE 'modified' END AS change, old_signature, new_signature
+FROM o FULL JOIN w USING (path, kind, name) WHERE old_signature IS DISTINCT FROM new_signature"""
+)
+def structural_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of two versions of the tree: some declarations gone, some new, some with another signature."""
+    d = Code(spark, sf_dir).decls
+    new = d.where("k % 13 <> 0").withColumn("signature", F.when(F.col("k") % 7 == 0, F.concat("signature", F.lit(" where"))).otherwise(F.col("signature")))
+    return graph.structural_diff(d.where("k % 11 <> 0"), new)
+
+
+@register("SELECT o_orderkey AS path FROM orders n WHERE NOT EXISTS (SELECT 1 FROM orders c WHERE c.o_orderkey = n.o_orderkey AND c.o_orderdate = n.o_orderdate AND c.o_orderstatus <> 'P')")
+def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files (orders stand in) whose path and time are not in the cached snapshot: those to parse anew."""
+    now = table(spark, sf_dir, "orders")
+    cached = now.where("o_orderstatus <> 'P'").select("o_orderkey", "o_orderdate")
+    return now.join(cached, ["o_orderkey", "o_orderdate"], "left_anti").select(F.col("o_orderkey").alias("path"))
+
+
+# ---- complexity and budget -----------------------------------------------------------------------
+
+
+@register(CODE + "SELECT path, name, line, cyclomatic, cyclomatic + 2.0 * max_nesting + 0.5 * param_count + body_lines / 20.0 AS score FROM decls WHERE cyclomatic >= 1 ORDER BY score DESC, path, line LIMIT 20")
+def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.hotspots(Code(spark, sf_dir).decls).select("path", "name", "line", "cyclomatic", "score")
+
+
+@register(
+    CODE
+    + """, f AS (SELECT * FROM decls WHERE kind IN ('Function', 'Method')), s AS (SELECT list_sort(list(cyclomatic) FILTER (cyclomatic IS NOT NULL)) AS c FROM f)
+SELECT count(*) AS total_functions, count(cyclomatic) AS analyzed, round(sum(cyclomatic) / count(cyclomatic), 1) AS avg_cc,
+  (SELECT CASE WHEN len(c) % 2 = 1 THEN c[len(c) // 2 + 1] ELSE CAST(ceil((c[len(c) // 2] + c[len(c) // 2 + 1]) / 2) AS BIGINT) END FROM s) AS median_cc, max(cyclomatic) AS max_cc,
+  (SELECT c[CAST(floor((len(c) - 1) * 0.9) AS BIGINT) + 1] FROM s) AS p90_cc, round(sum(max_nesting) / count(cyclomatic), 1) AS avg_nesting, round(sum(param_count) / count(cyclomatic), 1) AS avg_params,
+  round(sum(body_lines) / count(cyclomatic), 1) AS avg_body_lines, count(*) FILTER (cyclomatic >= 10) AS high_complexity_count, round(count(*) FILTER (cyclomatic >= 10) / count(cyclomatic) * 100, 1) AS high_complexity_pct,
+  round(count(doc_comment) / count(*) * 100, 1) AS documented_pct, count(*) FILTER (is_test) AS test_count, count(*) FILTER (is_deprecated) AS deprecated_count, count(*) FILTER (visibility = 'Public') AS public_api_count FROM f"""
+)
+def health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.health(Code(spark, sf_dir).decls)
+
+
+@register(CODE + "SELECT path, count(*) AS functions, round(sum(cyclomatic) / count(*), 1) AS avg_complexity, max(cyclomatic) AS max_complexity FROM decls WHERE kind IN ('Function', 'Method') AND cyclomatic IS NOT NULL GROUP BY path HAVING count(*) >= 2 ORDER BY avg_complexity DESC, path LIMIT 5")
+def hottest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.hottest_files(Code(spark, sf_dir).decls)
+
+
+COSTS = """, c AS (SELECT files.path, files.lines, 15 + (strlen(files.path) + 3) // 4 AS tokens, (SELECT count(*) FROM decls WHERE decls.path = files.path AND visibility = 'Public') AS pub FROM files),
+e AS (SELECT path, CAST(0 - 5 * (len(string_split(path, '/')) - 1) + 3 * pub - lines // 100 AS BIGINT) AS importance, CAST(tokens AS BIGINT) AS tokens FROM c) """
+
+
+@register(
+    CODE
+    + COSTS
+    + """, o AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY importance, string_split(path, '/') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior, row_number() OVER (ORDER BY importance, string_split(path, '/')) AS i, count(*) OVER () AS n, sum(tokens) OVER () AS total FROM e)
+SELECT path, importance, tokens, NOT (i < n AND greatest(total - prior, 0) > 300) AS kept FROM o"""
+)
+def budget_drop_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Code(spark, sf_dir)
+    public = c.decls.groupBy("path").agg(F.count_if(F.col("visibility") == "Public").alias("pub"))
+    costs = c.files.join(public, "path").select("path", S.file_importance(F.col("path"), F.col("pub"), F.col("lines")).alias("importance"), (15 + S.estimate_tokens(F.col("path"))).alias("tokens"))
+    return metrics.drop_files(costs, 300)
+
+
+@register(
+    TREE
+    + """, t AS (SELECT *, 8 + (strlen(signature) + 3) // 4 AS bare, CASE WHEN strlen(doc_comment) > 80 THEN left(doc_comment, 80) || '...' ELSE doc_comment END AS cut FROM decls),
+k AS (SELECT * FROM t d WHERE visibility <> 'Private' AND NOT EXISTS (SELECT 1 FROM a JOIN decls u ON a.path = u.path AND a.up = u.seq WHERE u.visibility = 'Private' AND a.path = d.path AND a.seq = d.seq))
+SELECT CAST(sum(bare + CASE WHEN doc_comment IS NOT NULL THEN 2 + (strlen(doc_comment) + 3) // 4 ELSE 0 END) AS BIGINT) AS "full", CAST(sum(bare + CASE WHEN cut IS NOT NULL THEN 2 + (strlen(cut) + 3) // 4 ELSE 0 END) AS BIGINT) AS docs_cut,
+  CAST(sum(bare) AS BIGINT) AS no_docs, (SELECT CAST(sum(bare) AS BIGINT) FROM k) AS public, (SELECT CAST(sum(bare) AS BIGINT) FROM k WHERE depth = 0) AS top_level FROM t"""
+)
+def budget_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.budget_stages(Code(spark, sf_dir).decls)
+
+
+# ---- scalars -------------------------------------------------------------------------------------
+
+
+@register(CODE + "SELECT path, seq, name, list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[_./-]'), lambda x: x <> '') AS parts FROM decls")
+def split_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Code(spark, sf_dir).decls.select("path", "seq", "name", S.split_identifier(F.col("name")).alias("parts"))
+
+
+@register(CODE + f"SELECT path, seq, {DICE.format(x='lower(name)')} AS similarity FROM decls")
+def bigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Code(spark, sf_dir).decls.select("path", "seq", S.bigram_similarity(F.lower("name"), F.lit("red ring")).alias("similarity"))
+
+
+WORDS = "list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: strlen(w) >= 4)"
+
+
+@register(
+    f"SELECT doc_id, CASE WHEN t = '' THEN 'topic-new' ELSE 'topic-' || t END AS id FROM (SELECT doc_id, array_to_string(list_filter(list_transform({WORDS}, lambda w: lower(regexp_replace(w, '[^A-Za-z0-9_-]', '', 'g'))), lambda w: w <> '')[1:3], '-') AS t FROM documents)"
+)
+def topic_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", S.derive_topic_id(F.col("text")).alias("id"))
+
+
+@register(f"SELECT doc_id, array_to_string(list_transform({WORDS}[1:5], lambda w: CASE WHEN left(w, 1) = 'ß' THEN 'SS' ELSE upper(left(w, 1)) END || substr(w, 2)), ' ') AS title FROM documents")
+def title_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", S.title_from_text(F.col("text")).alias("title"))
+
+
+@register(
+    "WITH t AS (SELECT doc_id, 'see [[' || source || ' Page]] and [[' || lang || ']] [[' || source || ' page]]' || chr(10) || '```' || chr(10) || '[[hidden]]' || chr(10) || '```' || chr(10) || 'x' AS x FROM documents) "
+    "SELECT doc_id, [source_id, lang_id] AS links FROM (SELECT t.doc_id, lower(source) || 'page' AS source_id, lang AS lang_id FROM t JOIN documents USING (doc_id))"
+)
+def wiki_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("'see [[' || source || ' Page]] and [[' || lang || ']] [[' || source || ' page]]\n```\n[[hidden]]\n```\nx'")
+    return table(spark, sf_dir, "documents").select("doc_id", S.wiki_links(text).alias("links"))
+
+
+@register("SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' ELSE printf('%.1f KB', n / 1024.0) END AS shown FROM (SELECT doc_id, strlen(text) AS n FROM documents WHERE strlen(text) < 1048576)")
+def format_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.octet_length("text")
+    return table(spark, sf_dir, "documents").where(n < 1 << 20).select("doc_id", S.format_size(n).alias("shown"))
+
+
+# ---- knowledge base ------------------------------------------------------------------------------
+
+PAGE_SCORE = """CASE WHEN lower(title) = 'the page-7' THEN 100 WHEN contains(lower(title), 'the page-7') THEN 50 WHEN contains(lower(title), 'the') OR contains(lower(title), 'page-7') THEN 25 ELSE 0 END
+ + CASE WHEN contains(id, 'the page-7') THEN 40 WHEN contains(id, 'the') OR contains(id, 'page-7') THEN 15 ELSE 0 END
+ + CASE WHEN contains(lower(content), 'the page-7') THEN 20 ELSE CASE WHEN contains(lower(content), 'the') THEN 5 ELSE 0 END + CASE WHEN contains(lower(content), 'page-7') THEN 5 ELSE 0 END END
+ + CASE WHEN EXISTS (SELECT 1 FROM sources_w s WHERE s.id = p.id AND (contains(lower(source), 'the') OR contains(lower(source), 'page-7'))) THEN 10 ELSE 0 END"""
+
+
+@register(BASE + f"SELECT id, title, CAST(score AS BIGINT) AS score FROM (SELECT ord, id, title, {PAGE_SCORE} AS score FROM pages_w p) WHERE score > 0 ORDER BY score DESC, ord LIMIT 5")
+def wiki_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = base(spark, sf_dir)
+    return knowledge.search(b.pages_w, b.sources_w, "The page-7")
+
+
+@register(
+    BASE
+    + """SELECT ord, id, CAST(s AS BIGINT) AS score FROM (SELECT ord, id, CASE WHEN id = 'page-3' THEN 50 ELSE 0 END + CASE WHEN contains(lower(title), 'tion') THEN 10 ELSE 0 END + CASE WHEN contains(lower(title), 'thea') THEN 10 ELSE 0 END
+ + CASE WHEN contains(head, 'tion') THEN 2 ELSE 0 END + CASE WHEN contains(head, 'thea') THEN 2 ELSE 0 END AS s
+ FROM (SELECT *, lower(CASE WHEN strlen(left(content, 1000)) <= 1000 THEN left(content, 1000) ELSE left(content, CAST((SELECT max(i) FROM range(0, 1001) t(i) WHERE strlen(left(content, i)) <= 1000) AS BIGINT)) END) AS head FROM pages_w) WHERE page_type <> 'index') WHERE s > 0"""
+)
+def route_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.route(base(spark, sf_dir).pages_w, "tion of thea", ("page-3",))
+
+
+@register(BASE + "SELECT id FROM pages_w p WHERE page_type <> 'index' AND EXISTS (SELECT 1 FROM sources_w s JOIN changed c ON s.source = c.path WHERE s.id = p.id)")
+def wiki_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = base(spark, sf_dir)
+    return knowledge.affected(b.pages_w, b.sources_w, b.changed)
+
+
+@register(BASE + "SELECT path FROM tracked WHERE path NOT IN (SELECT source FROM sources_w)")
+def wiki_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = base(spark, sf_dir)
+    return knowledge.uncovered(b.tracked, b.sources_w)
+
+
+@register(BASE + "SELECT id FROM sources_w GROUP BY id HAVING bool_and(source IN (SELECT path FROM deleted))")
+def wiki_all_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = base(spark, sf_dir)
+    return knowledge.all_deleted(b.sources_w, b.deleted)
+
+
+@register(
+    BASE
+    + """, c AS (SELECT count(*) AS tracked, count(*) FILTER (path IN (SELECT source FROM sources_w)) AS covered FROM tracked)
+SELECT page_type, count(*) AS pages, any_value(tracked) AS tracked, any_value(covered) AS covered, CAST(round_even(any_value(covered) * 100.0 / any_value(tracked), 0) AS BIGINT) AS coverage_pct FROM pages_w, c GROUP BY page_type"""
+)
+def wiki_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = base(spark, sf_dir)
+    return knowledge.health(b.pages_w, b.sources_w, b.tracked)
+
+
+@register("SELECT o_custkey AS id, max(o_orderkey) AS version, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_totalprice, o_orderkey) AS total FROM orders GROUP BY o_custkey")
+def wiki_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The present state of an append-only log: orders as versions of their customer's page."""
+    log = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"))
+    return knowledge.upsert(log)
