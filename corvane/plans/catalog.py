@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from corvane.functions import scalars as S
-from corvane.operators import filters, graph, knowledge, metrics, search
+from corvane.functions import scalars as S, text as X
+from corvane.operators import filters, graph, knowledge, metrics, render, search, types
+from corvane.parsers import ingest, lines
 from corvane.sources.fixtures import CTES, WIKI, documents_as_files, relation, table
+from corvane.streaming import changes
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 QUERIES: dict = {}
@@ -511,3 +513,149 @@ def wiki_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The present state of an append-only log: orders as versions of their customer's page."""
     log = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"))
     return knowledge.upsert(log)
+
+
+# ---- parsers, texts and streams ------------------------------------------------------------------
+
+
+@register(
+    """WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS t FROM pages), x AS (SELECT page_id, trim(t) AS t FROM l),
+g AS (SELECT page_id, regexp_extract(t, '<(head|body|header|nav|main|section|article|aside|footer|form|table|script|style|template|slot|dialog)[\\s>]', 1) AS tag, regexp_extract(t, 'id\\s*=\\s*["'']([^"'']+)["'']', 1) AS ident, regexp_extract(t, '<title[^>]*>([^<]+)</title>', 1) AS title FROM x)
+SELECT page_id, tag || CASE WHEN ident <> '' THEN '#' || ident ELSE '' END AS name, '<' || tag || CASE WHEN ident <> '' THEN '#' || ident ELSE '' END || '>' AS signature FROM g WHERE tag <> ''
+UNION ALL SELECT page_id, 'title', 'title: ' || CASE WHEN strlen(title) > 60 THEN left(title, 60) || '...' ELSE title END FROM g WHERE title <> ''"""
+)
+def html_decls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), F.col("html").alias("content"))
+    return lines.html(pages).select(F.col("path").alias("page_id"), "name", "signature")
+
+
+@register(
+    """WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS t, generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1) AS line FROM documents),
+h AS (SELECT doc_id, line, 1 + (line * 7 + doc_id) % 3 AS level, trim(t) AS name FROM l WHERE trim(t) <> '')
+SELECT doc_id, CAST(line AS BIGINT) AS line, name, (SELECT CAST(max(p.line) AS BIGINT) FROM h p WHERE p.doc_id = h.doc_id AND p.line < h.line AND p.level < h.level) AS parent_line FROM h"""
+)
+def markdown_decls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose lines are headings of levels one to three by their number."""
+    text = F.expr("array_join(transform(split(text, '\n'), (x, i) -> repeat('#', CAST(1 + ((i + 1) * 7 + doc_id) % 3 AS int)) || ' ' || x), '\n')")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), text.alias("content"))
+    return lines.markdown(docs).where("name <> ''").select(F.col("path").alias("doc_id"), "line", "name", "parent_line")
+
+
+@register(
+    "SELECT doc_id, unnest([1, 3, 5, 6]) AS line, unnest(['ShellFunction', 'ShellFunction', 'Constant', 'Constant']) AS kind, unnest([lang || '_a', source || '_run', 'X_' || doc_id, 'll']) AS name FROM documents"
+)
+def shell_decls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("'function ' || lang || '_a() {\n}\n' || source || '_run () {\nif () {\nexport X_' || doc_id || '=1\nalias ll=x\nsource \"./' || source || '.sh\"\necho hi'")
+    return lines.shell(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), text.alias("content"))).select(F.col("path").alias("doc_id"), F.col("line").cast("int").alias("line"), "kind", "name")
+
+
+@register("SELECT doc_id, unnest([1, 2, 4, 5]) AS line, unnest([lang, 'a', source || '.x', 'b']) AS name, unnest([NULL, lang, NULL, source || '.x']) AS section FROM documents")
+def toml_section_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("'[' || lang || ']\na = 1\n# c = 2\n[[' || source || '.x]]\nb = \"y\"\n'")
+    return lines.toml_keys(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), text.alias("content"))).select(F.col("path").alias("doc_id"), F.col("line").cast("int").alias("line"), "name", "section")
+
+
+@register(CODE + RESOLVED + "SELECT src, dst FROM edges WHERE (dst, src) NOT IN (SELECT (src, dst) FROM edges)")
+def import_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports that are not answered by one in the other direction."""
+    c = Code(spark, sf_dir)
+    edges = graph.file_graph(c.files, c.imports)
+    return edges.exceptAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+@register()
+def type_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return types.type_flow(Code(spark, sf_dir).decls, "Ring", include_fields=True)
+
+
+@register()
+def parsed_decls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations of source texts in twelve languages, one for each part."""
+    samples = spark.createDataFrame(list(SAMPLES.items()), "language string, template string")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.initcap(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("n"))
+    files = parts.withColumn("language", F.element_at(F.array(*map(F.lit, SAMPLES)), (F.col("p_partkey") % len(SAMPLES) + 1).cast("int"))).join(F.broadcast(samples), "language")
+    return ingest.declarations(files.select(F.lit("m").alias("member"), F.col("p_partkey").cast("string").alias("path"), "language", F.replace("template", F.lit("NAME"), F.col("n")).alias("content"))).drop("rels")
+
+
+#: Small sources, with NAME for a part's name.
+SAMPLES = {
+    "Rust": "use std::io;\npub struct NAME {\n    pub x: i32,\n}\nimpl NAME {\n    pub fn get(&self, a: u8) -> u8 {\n        if a > 0 { a } else { 1 }\n    }\n}\n",
+    "Python": "import os\nclass NAME:\n    def get(self, a):\n        return a if a else 1\n",
+    "TypeScript": "import { a } from './a';\nexport class NAME extends Base {\n  get(a: number): number {\n    return a;\n  }\n}\n",
+    "Go": "package a\nfunc NAME(a int) int {\n\treturn a\n}\n",
+    "Java": "import java.util.List;\npublic class NAME {\n    public int get(int a) {\n        return a;\n    }\n}\n",
+    "C": "#include <a.h>\nstatic int NAME(int a) {\n    return a;\n}\n",
+    "Kotlin": "package a\nclass NAME {\n    fun get(a: Int) { }\n}\n",
+    "Ruby": "module NAME\n  def get(a)\n  end\nend\n",
+    "SQL": "CREATE TABLE NAME (\n  id INT\n);\n",
+    "Protobuf": "message NAME {\n  string a = 1;\n}\n",
+    "JSON": '{"NAME": {"a": 1}}',
+    "CSS": ".NAME {\n}\n",
+}
+
+
+@register()
+def collapse_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.concat(F.lit("mod a {\n  fn "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("() {\n    let s = \"{\";\n  }\n}\n"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.collapse_bodies(source).alias("source"))
+
+
+@register()
+def excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.excerpt(F.col("text"), F.lit("the")).alias("excerpt"))
+
+
+@register(
+    """WITH o AS (SELECT user_id AS key, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT key, ts, sum(n) OVER (PARTITION BY key ORDER BY ts) AS i FROM o)
+SELECT key, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS events FROM s GROUP BY key, i"""
+)
+def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.debounce(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts"), "30 minutes")
+
+
+@register(
+    """WITH o AS (SELECT user_id AS key, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 1 HOUR THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT key, ts, sum(n) OVER (PARTITION BY key ORDER BY ts) AS i FROM o)
+SELECT key, min(ts) AS start, max(ts) AS "last", count(*) AS events FROM s GROUP BY key, i"""
+)
+def session_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that end after an hour without a request."""
+    return changes.sessions_batch(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts"), 3600).drop("island")
+
+
+@register(
+    """SELECT DISTINCT src FROM (SELECT 'src/' || event_type || '/f' || (user_id % 20) || CASE WHEN user_id % 3 = 0 THEN '.rs' WHEN user_id % 3 = 1 THEN '.tmp' ELSE '.py' END AS src FROM events) WHERE src NOT LIKE '%.tmp'"""
+)
+def coalesce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of a stream of change events that lead to a rebuild."""
+    path = F.expr("'src/' || event_type || '/f' || (user_id % 20) || CASE WHEN user_id % 3 = 0 THEN '.rs' WHEN user_id % 3 = 1 THEN '.tmp' ELSE '.py' END")
+    return changes.relevant(table(spark, sf_dir, "events").select(path.alias("path"))).select(F.col("path").alias("src")).distinct()
+
+
+@register(
+    CODE
+    + """, o AS (SELECT path, kind, name, arg_max(signature, seq) AS a FROM decls WHERE depth <= 1 AND k % 11 <> 0 GROUP BY ALL), w AS (SELECT path, kind, name, arg_max(signature, seq) AS b FROM decls WHERE depth <= 1 AND k % 13 <> 0 GROUP BY ALL)
+SELECT path, CASE WHEN a IS NULL THEN '+' WHEN b IS NULL THEN '-' ELSE '~' END AS mark, name, CASE WHEN a IS NULL THEN '+' WHEN b IS NULL THEN '-' ELSE '~' END || ' ' || lower(kind) || ' `' || CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE a || '` → `' || b END || '`' AS text
+FROM o FULL JOIN w USING (path, kind, name) WHERE a IS DISTINCT FROM b"""
+)
+def diff_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Code(spark, sf_dir).decls
+    return render.diff_lines(graph.structural_diff(d.where("k % 11 <> 0"), d.where("k % 13 <> 0")))
+
+
+@register(CODE + RESOLVED + """SELECT '  "' || src || '" -> "' || dst || '";' AS text FROM edges UNION ALL SELECT '  "' || id || '";' FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges) UNION ALL SELECT unnest(['digraph dependencies {', '}'])""")
+def dot_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Code(spark, sf_dir)
+    return render.dot_lines(graph.file_graph(c.files, c.imports)).select("text")
+
+
+@register(
+    CODE
+    + """, r AS (SELECT path, text, row_number() OVER (PARTITION BY path ORDER BY ord) AS r, count(*) OVER (PARTITION BY path) AS c FROM imports)
+SELECT path, 0 AS k, 0 AS n, '## ' || path || ' (' || language || ', ' || lines || ' lines)' AS text FROM files UNION ALL SELECT path, 1, r, '- ' || text FROM r WHERE r <= 3 UNION ALL SELECT path, 1, r, '- … and ' || (c - 3) || ' more' FROM r WHERE r = 4
+UNION ALL SELECT path, 2, seq, repeat('  ', CAST(depth AS INTEGER)) || '- `' || signature || '`' FROM decls"""
+)
+def index_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Code(spark, sf_dir)
+    return render.index_lines(c.files, c.decls, c.imports, 3)
