@@ -12,16 +12,24 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from functools import cache
 
-import numpy as np
-
 #: The pre-tokenizer's words, for chunks of printable ASCII and Latin-1 letters in lower case.
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: entries of a cache, after which it starts anew
-LIMIT = 250_000
+LIMIT = 800_000
+
+
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
 
 
 class _Words(dict):
@@ -30,7 +38,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         mapped = word if word.isascii() else "".join(x[0] for x in self.bytes.pre_tokenize_str(word))
-        ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        ids = packed([t.id for t in self.model.tokenize(mapped)])
         if len(self) >= LIMIT:
             self.clear()
         self[word] = ids
@@ -42,10 +50,12 @@ class _Chunks(dict):
         self.tokenizer, self.words = tokenizer, words
 
     def __missing__(self, chunk: str) -> bytes:
-        if self.words is not None and PLAIN.fullmatch(chunk) and "<|" not in chunk:
+        if self.words is not None and chunk.isascii() and chunk.isalpha():
+            ids = self.words[chunk.lower()]
+        elif self.words is not None and PLAIN.fullmatch(chunk) and "<|" not in chunk:
             ids = b"".join([self.words[w] for w in WORDS.findall(chunk.lower())])
         else:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         if len(self) >= LIMIT:
             self.clear()
         self[chunk] = ids
@@ -71,7 +81,7 @@ class ChunkEncoder:
         if not text:
             return b""
         if not self.by_chunk or ODD_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
