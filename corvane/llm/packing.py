@@ -27,6 +27,8 @@ from corvane.llm.common import Scratch
 from corvane.llm.token_ids import encoder
 
 CAPACITY, END_ID = 2048, 0
+#: shares of the capacity that a replacing pair may leave free
+LOOSE = (1.0, 1 / 16, 1 / 128, 0.0)
 
 
 def best_pair(lengths: np.ndarray, counts: np.ndarray, most: int, over: int) -> tuple[int, int] | None:
@@ -43,7 +45,16 @@ def best_pair(lengths: np.ndarray, counts: np.ndarray, most: int, over: int) ->
 
 
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """(lengths of a bin in order, number of such bins) for all pieces of the histogram."""
+    """(lengths of a bin in order, number of such bins) for all pieces of the histogram.
+
+    A pair uses up small pieces that later bins may need. So the histogram is packed once for each share
+    of `LOOSE`, which bounds the gap that a pair may leave, and the fewest bins win.
+    """
+    found = [_pack(counts, capacity, int(capacity * share)) for share in LOOSE]
+    return min(found, key=lambda bins: sum(n for _, n in bins))
+
+
+def _pack(counts: dict[int, int], capacity: int, loose: int) -> list[tuple[list[int], int]]:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -64,7 +75,7 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
             small = bin_[-1]
             rest = np.flatnonzero(now)
             pair = best_pair(rest, now[rest], gap + small, small)
-            if not pair:
+            if not pair or gap + small - sum(pair) > loose:
                 break
             bin_.pop()
             now[small] += 1
