@@ -118,11 +118,14 @@ class Store:
         return self.spark.read.parquet(*[f"{self.root}/{p}" for p in paths])
 
     def vacuum(self) -> int:
-        """Delete the data folders that the latest version doesn't list; returns their number. No writer may be active."""
-        listed = {r["path"].rsplit("/", 1)[0] for r in self.files().collect()}
-        stale = [f.getPath() for f in self.fs.listStatus(self._path("data")) if f"data/{f.getPath().getName()}" not in listed]
+        """Delete the data files that the latest version doesn't list; returns their number. No writer may be active."""
+        listed = {r["path"] for r in self.files().collect()}
+        stale = []
+        for folder in self.fs.listStatus(self._path("data")):
+            name = f"data/{folder.getPath().getName()}"
+            stale += [f.getPath() for f in self.fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-") and f"{name}/{f.getPath().getName()}" not in listed]
         for p in stale:
-            self.fs.delete(p, True)
+            self.fs.delete(p, False)
         return len(stale)
 
 
