@@ -109,3 +109,47 @@ def compound(pages: DataFrame, synthesis: str, title: str | None = None, source_
     while name in taken:
         name, k = f"{row['i']}-{k}", k + 1
     return "create", name
+
+
+def fan_in(links: DataFrame) -> DataFrame:
+    """(id, n): pages that link to each id."""
+    return links.select(F.explode("links_to").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+
+
+def open_items(pages: DataFrame) -> DataFrame:
+    """One row: contradictions and failures in all, open ones, and pages with open ones; pages have arrays of items with resolved_at."""
+    n = lambda c: F.size(c)
+    unresolved = lambda c: F.size(F.filter(c, lambda x: x["resolved_at"].isNull()))
+    made = []
+    for c in ("contradictions", "failures"):
+        made += [F.sum(n(c)).alias(c), F.sum(unresolved(c)).alias(f"open_{c}"), F.count_if(unresolved(c) > 0).alias(f"pages_with_{c}")]
+    return pages.agg(*made)
+
+
+def read(pages: DataFrame, name: str) -> DataFrame:
+    """The page by its id, else by id or title in any case, else by a part of them; the first in store order."""
+    low = name.lower()
+    tier = F.when(F.col("id") == name, 0).when((F.lower("id") == low) | (F.lower("title") == low), 1).when(F.contains(F.lower("id"), F.lit(low)) | F.contains(F.lower("title"), F.lit(low)), 2)
+    return pages.withColumn("tier", tier).where("tier IS NOT NULL").orderBy("tier", "ord").limit(1).drop("tier")
+
+
+def covers(sources: DataFrame, decls: DataFrame) -> DataFrame:
+    """(id, cover): kind:name of the public top-level declarations of a page's sources."""
+    top = decls.where("depth = 0 AND visibility = 'Public'")
+    return sources.join(top, sources["source"] == top["path"]).select("id", F.concat_ws(":", F.lower("kind"), "name").alias("cover")).distinct()
+
+
+def load(spark, folder: str) -> DataFrame:
+    """Pages of a folder of page files; malformed ones are left out."""
+    from corvane.functions.text import parse_page
+
+    kinds = "id string, title string, page_type string, source_files array<string>, links_to array<string>, covers array<string>, content string"
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            rows = [(p["id"], p["title"], p.get("page_type", "topic"), p["source_files"], p["links_to"], p["covers"], p["content"]) for t in f["value"] if (p := parse_page(t))]
+            yield pd.DataFrame(rows, columns=[k.split()[0] for k in kinds.split(", ")])
+
+    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder).mapInPandas(run, kinds)

@@ -95,3 +95,24 @@ def drop_files(costs: DataFrame, budget: int) -> DataFrame:
     everything = Window.partitionBy()
     out = costs.withColumns({"prior": prior, "i": F.row_number().over(order), "n": F.count("*").over(everything), "total": F.sum("tokens").over(everything)})
     return out.withColumn("kept", ~((F.col("i") < F.col("n")) & (F.greatest(F.col("total") - F.col("prior"), F.lit(0)) > budget))).select("path", "importance", "tokens", "kept")
+
+
+def token_scope_breakdown(files: DataFrame, top: int = 50) -> DataFrame:
+    """(path, tokens, lines, total_tokens, total_files, advice) of the first `top` files in path order; totals are over all files."""
+    tokens = F.expr("(size + 3) div 4").cast("bigint")
+    totals = files.agg(F.sum(tokens).alias("total_tokens"), F.count("*").alias("total_files"))
+    first = files.select("path", tokens.alias("tokens"), "lines").orderBy(S.path_parts(F.col("path"))).limit(top)
+    return first.join(totals, on=F.lit(True), how="inner").withColumn("advice", F.when(F.col("total_tokens") > 2000, "summaries").otherwise("full"))
+
+
+def hotspot_table(rows: DataFrame) -> DataFrame:
+    """Fixed-width lines (n, text) of hotspot rows, in their order of score."""
+    order = Window.orderBy(F.desc("score"), "path", "line")  # a report of at most a hundred rows
+    return rows.withColumn("n", F.row_number().over(order)).select("n", F.format_string("%7.1f %4d %4d %4d %5d  %s:%d %s", "score", "cyclomatic", "max_nesting", "param_count", "body_lines", "path", "line", "name").alias("text"))
+
+
+def read_budget(lines: DataFrame, most: int = 500) -> DataFrame:
+    """(path, seq, shown): how many lines of each symbol a read of several shows before `most` are reached, in their order."""
+    w = Window.orderBy("path", "seq").rowsBetween(Window.unboundedPreceding, -1)  # the symbols of one request
+    prior = F.coalesce(F.sum("lines").over(w), F.lit(0))
+    return lines.select("path", "seq", F.greatest(F.lit(0), F.least("lines", F.lit(most) - prior)).cast("bigint").alias("shown"))

@@ -659,3 +659,120 @@ UNION ALL SELECT path, 2, seq, repeat('  ', CAST(depth AS INTEGER)) || '- `' ||
 def index_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Code(spark, sf_dir)
     return render.index_lines(c.files, c.decls, c.imports, 3)
+
+
+# ---- further rows of the surface -----------------------------------------------------------------
+
+
+@register(CODE + "SELECT member, count(*) AS files, CAST(sum(lines) AS BIGINT) AS lines FROM files GROUP BY member")
+def list_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Code(spark, sf_dir).files.groupBy("member").agg(F.count("*").alias("files"), F.sum("lines").alias("lines"))
+
+
+@register(
+    CODE
+    + """SELECT path, CAST((size + 3) // 4 AS BIGINT) AS tokens, lines, CAST((SELECT sum((size + 3) // 4) FROM files) AS BIGINT) AS total_tokens, (SELECT count(*) FROM files) AS total_files, CASE WHEN (SELECT sum((size + 3) // 4) FROM files) > 2000 THEN 'summaries' ELSE 'full' END AS advice
+FROM files ORDER BY string_split(path, '/') LIMIT 15"""
+)
+def token_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.token_scope_breakdown(Code(spark, sf_dir).files, 15)
+
+
+@register(CODE + "SELECT path, seq, name, kind FROM decls WHERE kind = 'Trait'")
+def kind_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Code(spark, sf_dir).decls.where("kind = 'Trait'").select("path", "seq", "name", "kind")
+
+
+@register(CODE + "SELECT path FROM files WHERE language IN ('Rust', 'Go')")
+def filter_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Code(spark, sf_dir).files.where(F.col("language").isin("Rust", "Go", "NoSuchLanguage")).select("path")
+
+
+@register(
+    CODE
+    + """SELECT d.path, d.seq, d.name, k.n AS children_count FROM decls d LEFT JOIN (SELECT path, parent_seq, count(*) AS n FROM decls WHERE parent_seq IS NOT NULL GROUP BY ALL) k ON d.path = k.path AND d.seq = k.parent_seq WHERE depth = 0"""
+)
+def shallow_decls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-level declarations with the number of their children, null for none."""
+    d = Code(spark, sf_dir).decls
+    kids = d.where("parent_seq IS NOT NULL").groupBy("path", F.col("parent_seq").alias("seq")).agg(F.count("*").alias("children_count"))
+    return d.where("depth = 0").join(kids, ["path", "seq"], "left").select("path", "seq", "name", "children_count")
+
+
+@register(CODE + "SELECT path, seq, CASE WHEN strlen(doc_comment) > 60 THEN regexp_replace(left(doc_comment, 60), '[.]+$', '') || '...' ELSE doc_comment END AS doc FROM decls")
+def doc_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Code(spark, sf_dir).decls.select("path", "seq", S.truncate_doc(F.col("doc_comment"), 60).alias("doc"))
+
+
+@register(CODE + "SELECT path, CAST(0 - 5 * (len(string_split(path, '/')) - 1) + 3 * (SELECT count(*) FROM decls d WHERE d.path = f.path AND visibility = 'Public') - lines // 100 AS BIGINT) AS importance FROM files f")
+def file_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Code(spark, sf_dir)
+    public = c.decls.groupBy("path").agg(F.count_if(F.col("visibility") == "Public").alias("pub"))
+    return c.files.join(public, "path").select("path", S.file_importance(F.col("path"), F.col("pub"), F.col("lines")).alias("importance"))
+
+
+@register(
+    CODE
+    + """, s AS (SELECT path, seq, body_lines, coalesce(sum(body_lines) OVER (ORDER BY path, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM decls WHERE body_lines IS NOT NULL AND path = 'src/m1/file_1.py')
+SELECT path, seq, CAST(greatest(0, least(body_lines, 200 - prior)) AS BIGINT) AS shown FROM s"""
+)
+def read_line_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a read of all functions of a file shows under a budget of 200."""
+    d = Code(spark, sf_dir).decls.where("body_lines IS NOT NULL AND path = 'src/m1/file_1.py'")
+    return metrics.read_budget(d.select("path", "seq", F.col("body_lines").alias("lines")), 200)
+
+
+@register(
+    CODE
+    + """, h AS (SELECT *, cyclomatic + 2.0 * max_nesting + 0.5 * param_count + body_lines / 20.0 AS score FROM decls WHERE cyclomatic >= 1 ORDER BY score DESC, path, line LIMIT 30)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, path, line) AS INTEGER) AS n, name, path FROM h"""
+)
+def hotspot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metrics.hotspots(Code(spark, sf_dir).decls, 30)
+    return metrics.hotspot_table(rows).select("n", F.regexp_extract("text", " (\\S+)\\z", 1).alias("name"), F.regexp_extract("text", "  (\\S+):\\d+ ", 1).alias("path"))
+
+
+@register("SELECT to_id AS id, count(*) AS n FROM (SELECT 'page-' || (doc_id % 7) AS to_id FROM documents UNION ALL SELECT 'page-' || (doc_id % 5) FROM documents) GROUP BY to_id")
+def page_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "documents").select(F.expr("array('page-' || doc_id % 7, 'page-' || doc_id % 5)").alias("links_to"))
+    return knowledge.fan_in(links)
+
+
+@register(
+    "SELECT CAST(sum(a) AS BIGINT) AS contradictions, CAST(sum(b) AS BIGINT) AS open_contradictions, count(*) FILTER (b > 0) AS pages_with_contradictions, CAST(sum(a) AS BIGINT) AS failures, CAST(sum(a - b) AS BIGINT) AS open_failures, count(*) FILTER (a - b > 0) AS pages_with_failures "
+    "FROM (SELECT doc_id, count(*) AS a, count(*) FILTER (toxic = 1) AS b FROM labels GROUP BY doc_id)"
+)
+def wiki_open_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open and closed items of pages: labels stand in, with toxic as open."""
+    item = lambda c: F.struct(F.when(F.col("toxic") == c, None).otherwise(F.lit("now")).alias("resolved_at"))
+    pages = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.collect_list(item(1)).alias("contradictions"), F.collect_list(item(0)).alias("failures"))
+    return knowledge.open_items(pages)
+
+
+@register(BASE + "SELECT id, title FROM pages_w WHERE id = 'page-7' LIMIT 1")
+def wiki_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.read(base(spark, sf_dir).pages_w, "PAGE-7").select("id", "title")
+
+
+@register(CODE + ", s AS (SELECT DISTINCT 'page-' || (k % 9) AS id, path AS source FROM decls WHERE seq = 0) SELECT DISTINCT id, lower(kind) || ':' || name AS cover FROM s JOIN decls ON source = path WHERE depth = 0 AND visibility = 'Public'")
+def wiki_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Code(spark, sf_dir).decls
+    return knowledge.covers(d.where("seq = 0").select(F.expr("'page-' || k % 9").alias("id"), F.col("path").alias("source")).distinct(), d)
+
+
+@register(CODE + ", r AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY string_split(path, '/')) AS i FROM files) SELECT path FROM r WHERE i <= 3")
+def sibling_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three files of every folder."""
+    w = Window.partitionBy(F.regexp_replace("path", "/[^/]*\\z", "")).orderBy(S.path_parts(F.col("path")))
+    return Code(spark, sf_dir).files.withColumn("i", F.row_number().over(w)).where("i <= 3").select("path")
+
+
+@register(CODE + "SELECT name, min(seq) AS seq FROM decls GROUP BY name")
+def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Code(spark, sf_dir).decls.groupBy("name").agg(F.min("seq").alias("seq"))
+
+
+@register("SELECT p_partkey, regexp_replace(CASE p_partkey % 3 WHEN 0 THEN 'crate/a_' || p_partkey || '/b' WHEN 1 THEN 'a/b' || p_partkey || '/user' ELSE 'x_' || p_partkey || '.h' END, '^crate/', '') AS path FROM part")
+def normalize_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.expr("CASE p_partkey % 3 WHEN 0 THEN 'crate::a_' || p_partkey || '::b' WHEN 1 THEN 'a.b' || p_partkey || '.user' ELSE 'x_' || p_partkey || '.h' END")
+    return table(spark, sf_dir, "part").select("p_partkey", S.strip_import_prefix(S.normalize_import(raw)).alias("path"))
