@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm import decontaminate, language_id, packing, secret_scan, simhash_dedup
+from corvane.llm import decontaminate, language_id, packing, secret_scan, simhash_wide
 from corvane.llm.common import Scratch, table
 from corvane.llm.queries import tokenizer_path
 
@@ -27,8 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
-    return simhash_dedup.keep_one(docs)
+    """One document stays of each group that links of five-word shingles at a similarity of 0.8 connect."""
+    return simhash_wide.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

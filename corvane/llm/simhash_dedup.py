@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -126,29 +125,3 @@ def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", tex
     labels = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("fp", "root", "component")
     return prints.join(labels, "fp").select("id", "fp", "root", "component")
 
-
-def keep_one(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, that with the least id (rows without an id last, then the least fingerprint), with all columns.
-
-    The rows kept are told by their id; only where an id is repeated do the rows' fingerprints tell.
-    """
-    scratch = Scratch(docs.sparkSession, "keep")
-    labels = scratch.put(near_duplicates(docs, width, id_col, text_col), "labels")
-    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("b")
-    kept = scratch.put(labels.groupBy("root").agg(least).select(F.col("b.id").alias("kept_id"), F.col("b.fp").alias("kept_fp")), "kept")
-    again = scratch.put(labels.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("again_id")), "again")
-    is_kept, is_again = docs[id_col].eqNullSafe(kept["kept_id"]), docs[id_col].eqNullSafe(again["again_id"])
-    if again.isEmpty():
-        return docs.join(kept, is_kept, "left_semi")
-    twice = docs.join(again, is_again, "left_semi")
-    marked = twice.withColumn("_fp", _fp_udf(width)(F.col(text_col).cast("binary")))
-    rest = marked.join(kept, marked[id_col].eqNullSafe(kept["kept_id"]) & (marked["_fp"] == kept["kept_fp"]), "left_semi").dropDuplicates([id_col, "_fp"]).drop("_fp")
-    return docs.join(again, is_again, "left_anti").join(kept, is_kept, "left_semi").unionByName(rest)
-
-
-def _fp_udf(width: int):
-    @F.pandas_udf("bigint")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(None if x is None else bytes(x), width) for x in texts], np.uint64).view(np.int64))
-
-    return run

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 llm = pytest.importorskip("corvane.llm")
-from corvane.llm import compaction, decontaminate, huffman_ids, language_id, maxscore, packing, queries, quote_linking, secret_scan, simhash_dedup, token_ids, url_filter  # noqa: E402
+from corvane.llm import compaction, decontaminate, huffman_ids, language_id, maxscore, packing, queries, quote_linking, secret_scan, simhash_dedup, simhash_wide, token_ids, url_filter  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 #: further columns whose names the operators use themselves
@@ -297,11 +297,51 @@ def test_dense_groups_keep_all_links(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, ours.values()))
 
 
-def test_keep_one(spark, odd):
-    kept = simhash_dedup.keep_one(odd)
+def wide_roots(texts):
+    """Least index of each text's component by all pairs of the wide fingerprints."""
+    words = np.array([simhash_wide.wide_fingerprint((t or "").encode()) for t in texts], np.uint64).reshape(-1, 3)
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in np.flatnonzero(np.bitwise_count(words[:i] ^ words[i]).sum(1) <= simhash_wide.radius_of(0.8)):
+            a, b = find(i), find(int(j))
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("hot", [32, 3])
+def test_similar_groups(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash_wide, "HOT", hot)
+    rnd = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(12):
+        base = [rnd.choice(vocabulary) for _ in range(rnd.randint(80, 300))]
+        for _ in range(15):
+            copy = list(base)
+            for _ in range(rnd.randint(0, 4)):
+                copy[rnd.randrange(len(copy))] = rnd.choice(vocabulary)
+            texts.append(" ".join(copy))
+    texts += [" ".join(rnd.choice(vocabulary) for _ in range(100)) for _ in range(40)]
+    got = {r.id: r.root for r in simhash_wide.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    ours, theirs = {}, {}
+    for k, r in enumerate(wide_roots(texts)):
+        ours.setdefault(got[k], []).append(k)
+        theirs.setdefault(r, []).append(k)
+    assert sorted(ours.values()) == sorted(theirs.values()) and len(ours) < 110
+
+
+def test_keep_one(spark, odd, none):
+    kept = simhash_wide.keep_one(odd)
     assert kept.columns == odd.columns
     ids = sorted(str(r.doc_id) for r in kept.collect())
     assert ids.count("1") == 1 and "2" not in ids and "None" not in ids and len(ids) == len(set(ids))
+    assert simhash_wide.keep_one(none).isEmpty()
 
 
 # ---- op6 -------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages(spark):
-    from test_operators_llm import components, slow_fingerprint, slow_spans, whole
+    from test_operators_llm import slow_spans, whole, wide_roots
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, {r.doc_id: r.text for r in docs.collect()}
@@ -18,7 +18,7 @@ def test_stages(spark):
     assert docs.columns == columns and {r.doc_id: r.text for r in docs.collect()}.items() <= before.items()
     assert docs.count() >= 0.99 * len(before)
     rows = docs.orderBy("doc_id").collect()
-    roots = components([slow_fingerprint(r.text) for r in rows])
+    roots = wide_roots([r.text for r in rows])
     docs = step["near-duplicates"](spark, docs, SF).cache()
     assert docs.columns == columns and {r.doc_id for r in docs.collect()} == {r.doc_id for k, r in enumerate(rows) if roots[k] == k}
     rows, items = docs.collect(), spark.read.parquet(f"{SF}/benchmark.parquet").collect()
