@@ -29,6 +29,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -148,8 +149,6 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH
 
 
 def _node_of(width: int):
-    import pandas as pd
-
     @F.pandas_udf("w0 bigint, w1 bigint, w2 bigint")
     def run(texts: pd.Series) -> pd.DataFrame:
         words = np.array([wide_fingerprint(None if x is None else bytes(x), width) for x in texts], np.uint64).reshape(-1, WORDS).view(np.int64)
