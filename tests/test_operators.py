@@ -117,3 +117,32 @@ def test_catalogue_has_oracles(spark):
             cols = sorted(oracle.columns)
             show = lambda rows: sorted(repr([float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r]) for r in rows)
             assert show(map(tuple, spark_rows.select(*cols).collect())) == show(oracle.select(*[duckdb.ColumnExpression(c) for c in cols]).fetchall()), name
+
+
+def test_session_ttl_stream(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(1, at(0)), (1, at(30)), (1, at(80)), (1, at(200)), (2, at(5))], "key bigint, ts timestamp").coalesce(1).write.parquet(src)
+    stream = changes.session_ttl(spark.readStream.schema("key bigint, ts timestamp").parquet(src))
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((r.key, r.ts, r.valid) for r in spark.read.parquet(out).collect())
+    assert got == [(1, at(0), False), (1, at(30), True), (1, at(80), True), (1, at(200), False), (2, at(5), False)]
+
+
+def test_debounce_stream(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [("a", at(0)), ("a", at(1)), ("a", at(10)), ("b", at(1000))]
+    spark.createDataFrame(rows, "key string, ts timestamp").coalesce(1).write.parquet(src)
+    stream = changes.debounce(spark.readStream.schema("key string, ts timestamp").parquet(src), "5 seconds", late="1 second")
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((r.key, r.start, r.events) for r in spark.read.parquet(out).collect())
+    assert got == [("a", at(0), 2), ("a", at(10), 1)]
+    batch = sorted((r.key, r.start, r.events) for r in changes.sessions_batch(spark.createDataFrame(rows, "key string, ts timestamp"), 5).collect())
+    assert batch == [("a", at(0), 2), ("a", at(10), 1), ("b", at(1000), 1)]
