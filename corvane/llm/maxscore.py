@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from corvane.llm.common import Scratch
 
 SCALE, TOP = 256, 5
-SHARD, RUN, QUERY_BLOCK = 8192, 1024, 256
+SHARD, RUN, QUERY_BLOCK = 8192, 2048, 256
+#: non-essential terms probed before candidates are held against the bar again
+PROBE = 8
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -41,13 +43,33 @@ def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
 
 
 class Shard:
-    """Vectors (rows of an integer matrix) with their postings by term."""
+    """Vectors (rows of an integer matrix) with their postings by term.
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray):
-        self.ids, self.matrix = ids, matrix
-        self.postings = [(at := np.flatnonzero(matrix[:, t]), matrix[at, t]) for t in range(matrix.shape[1])]
+    Where over a quarter of the weights are not zero, a posting is a column of the matrix, in floats
+    while all sums of products stay below 2**53 and are exact; otherwise it is a list of rows and weights.
+    """
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, largest: float = float("inf")):
+        self.ids = ids
+        self.dense = matrix.dtype != object and largest < 2**53 and np.count_nonzero(matrix) > matrix.size / 4
+        self.matrix = matrix.astype(np.float64) if self.dense else matrix
+        self.postings = [] if self.dense else [(at := np.flatnonzero(matrix[:, t]), matrix[at, t]) for t in range(matrix.shape[1])]
         self.least, self.most = (np.minimum(matrix.min(0), 0), np.maximum(matrix.max(0), 0)) if len(ids) else (np.zeros(matrix.shape[1], np.int64),) * 2
 
+    def _traverse(self, q: np.ndarray, essential: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores from the essential terms, and which vectors have any of them."""
+        if self.dense:
+            part = np.zeros(self.matrix.shape[1])
+            part[essential] = q[essential]
+            return self.matrix @ part, np.ones(len(self.ids), bool)
+        score, met = np.zeros(len(self.ids), q.dtype), np.zeros(len(self.ids), bool)
+        for t in essential:
+            if q[t]:
+                at, w = self.postings[t]
+                score[at] += q[t] * w
+                met[at] = True
+        return score, met
+
     def search(self, q: np.ndarray, own: int, k: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """The k best (score, id) of `best` and this shard. `best` is sorted."""
         terms = min(len(q), self.matrix.shape[1])
@@ -56,26 +78,21 @@ class Shard:
         order = np.argsort(-bounds, kind="stable")
         rest = np.concatenate((np.cumsum(bounds[order][::-1])[::-1], [0]))  # of the term and all after it
         bar = best[-1][0] if len(best) == k else None
-        essential = terms if bar is None else int(np.searchsorted(-rest, -bar, side="right"))  # rest[essential] < bar
-        essential = min(essential, terms)
-        score, met = np.zeros(len(self.ids), q.dtype), np.zeros(len(self.ids), bool)
-        for t in order[:essential]:
-            if q[t]:
-                at, w = self.postings[t]
-                score[at] += q[t] * w
-                met[at] = True
+        essential = terms if bar is None else min(terms, int(np.searchsorted(-rest, -bar, side="right")))  # rest[essential] < bar
+        score, met = self._traverse(q, order[:essential])
         if bar is None or bar <= 0:  # a vector without any of the terms scores zero
             met[:] = True
         found = np.flatnonzero(met & (self.ids != own))
-        for n in range(essential, terms):
+        for n in range(essential, terms, PROBE):
             found = found[score[found] + rest[n] >= bar]
             if not len(found):
                 return best
-            t = order[n]
-            if q[t]:
-                score[found] += q[t] * self.matrix[found, t]
+            t = order[n : n + PROBE]
+            score[found] += self.matrix[np.ix_(found, t)] @ q[t]
         if bar is not None:
             found = found[score[found] >= bar]
+            if not len(found):
+                return best
         if len(found) > k:
             least = np.partition(score[found], len(found) - k)[len(found) - k]
             found = found[score[found] >= least]
@@ -110,9 +127,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
                 ids, vs, qids, qs = (b.column(c)[r].as_py() for c in range(4))
                 all_ids, x, y = np.array(ids, np.int64), _matrix(vs), _matrix(qs)
                 wide = max(x.shape[1], y.shape[1], 1)
-                if float(np.abs(x.astype(float)).max(initial=0)) * float(np.abs(y.astype(float)).max(initial=0)) * wide >= 2**62:
+                largest = float(np.abs(x.astype(float)).max(initial=0)) * float(np.abs(y.astype(float)).max(initial=0)) * wide
+                if largest >= 2**62:
                     x, y = x.astype(object), y.astype(object)  # exact beyond 64 bits
-                runs = [Shard(all_ids[at : at + RUN], x[at : at + RUN]) for at in range(0, len(ids), RUN)]
+                runs = [Shard(all_ids[at : at + RUN], x[at : at + RUN], largest) for at in range(0, len(ids), RUN)]
                 out = []
                 for own, q in zip(qids, y, strict=True):
                     best: list[tuple[int, int]] = []
