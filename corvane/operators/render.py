@@ -67,3 +67,10 @@ def compact_rows(df: DataFrame, *order: str) -> DataFrame:
     columns = df.columns
     row = F.array(*[F.col(c).cast("string") for c in columns])
     return df.select(*order, row.alias("row")).agg(F.array(*map(F.lit, columns)).alias("columns"), F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(o).alias(f"o{k}") for k, o in enumerate(order)], "row"))), lambda x: x["row"]).alias("rows"))
+
+
+def index_json(files: DataFrame, decls: DataFrame) -> DataFrame:
+    """(path, json): a file and its declarations in order, as one JSON text a file."""
+    d = decls.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "parent_seq", "kind", "name", "signature", "visibility", "line"))).alias("declarations"))
+    rows = files.join(d, "path", "left")
+    return rows.select("path", F.to_json(F.struct("path", "language", "size", "lines", "declarations")).alias("json"))

@@ -776,3 +776,13 @@ def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalize_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.expr("CASE p_partkey % 3 WHEN 0 THEN 'crate::a_' || p_partkey || '::b' WHEN 1 THEN 'a.b' || p_partkey || '.user' ELSE 'x_' || p_partkey || '.h' END")
     return table(spark, sf_dir, "part").select("p_partkey", S.strip_import_prefix(S.normalize_import(raw)).alias("path"))
+
+
+@register(
+    CODE
+    + """, d AS (SELECT path, string_agg('{"seq":' || seq || CASE WHEN parent_seq IS NULL THEN '' ELSE ',"parent_seq":' || parent_seq END || ',"kind":' || to_json(kind) || ',"name":' || to_json(name) || ',"signature":' || to_json(signature) || ',"visibility":' || to_json(visibility) || ',"line":' || line || '}', ',' ORDER BY seq) AS d FROM decls GROUP BY path)
+SELECT path, '{"path":' || to_json(path) || ',"language":' || to_json(language) || ',"size":' || size || ',"lines":' || lines || ',"declarations":[' || d || ']}' AS json FROM files JOIN d USING (path)"""
+)
+def index_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Code(spark, sf_dir)
+    return render.index_json(c.files, c.decls)
