@@ -56,12 +56,11 @@ def trigram_counts(text: str) -> np.ndarray:
 
 def train_svm(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear SVM: y is 1 or -1. Averaged subgradient steps over all rows, classes of equal weight."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, mean = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    w, mean = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     for t in range(1, ROUNDS + 1):
-        inside = (y * (x @ w) < 1) * share * y
-        w = (1 - 1 / t) * w + (inside @ x) / (REGULAR * t)
+        inside = ((y * (x @ w[:-1].astype(x.dtype) + w[-1]) < 1) * share * y).astype(x.dtype)
+        w = (1 - 1 / t) * w + np.append(inside @ x, inside.sum()) / (REGULAR * t)
         norm = np.sqrt(REGULAR) * np.linalg.norm(w)
         w /= max(1.0, norm)
         if t > ROUNDS // 2:
@@ -70,21 +69,23 @@ def train_svm(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 class Model:
-    """The tree of machines; `predict` takes bucket counts."""
+    """The tree of machines, from bucket frequencies; `predict` takes bucket counts."""
 
-    def __init__(self, counts: np.ndarray, languages: list[str]):
+    def __init__(self, x: np.ndarray, languages: list[str]):
         self.languages = sorted(set(languages))
         self.families = sorted({family_of(x) for x in self.languages})
         lang = np.array(languages)
         fam = np.array([family_of(x) for x in languages])
-        x = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-        scale = 1 / np.maximum(x.std(0), 1e-4) if len(x) else np.ones(BUCKETS)
-        scale /= np.sqrt(BUCKETS)
+        # the deviation by moments: no copy of x
+        scale = 1 / np.maximum(np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / len(x) - x.mean(0) ** 2, 0)), 1e-4) if len(x) else np.ones(BUCKETS)
+        scale = (scale / np.sqrt(BUCKETS)).astype(np.float32)
         rows, self.bias, self.pairs = [], [], []
         for level, labels, names in [("", fam, self.families), *((f, lang, [n for n in self.languages if family_of(n) == f]) for f in self.families)]:
             for a, b in combinations(names, 2):
                 own = (labels == a) | (labels == b)
-                w, bias = train_svm(x[own] * scale, np.where(labels[own] == a, 1.0, -1.0))
+                part = x[own]
+                part *= scale
+                w, bias = train_svm(part, np.where(labels[own] == a, 1.0, -1.0))
                 rows.append(w * scale)
                 self.bias.append(bias)
                 self.pairs.append((level, a, b))
@@ -121,17 +122,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
-        return Model(np.zeros((0, BUCKETS)), [])
+        return Model(np.zeros((0, BUCKETS), np.float32), [])
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample / n))])
     picked = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).limit(2 * sample * len(sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([trigram_counts(x.as_py()).astype("<u4").tobytes() for x in b.column(0)], pa.binary())], ["lang", "counts"])
+            found = [trigram_counts(x.as_py()) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([(c / max(1, c.sum())).astype("<f4").tobytes() for c in found], pa.binary())], ["lang", "parts"])
 
-    rows = picked.select("text", "lang").mapInArrow(run, "lang string, counts binary").collect()
+    rows = picked.select("text", "lang").mapInArrow(run, "lang string, parts binary").collect()
     rows.sort(key=lambda r: (r[0], bytes(r[1])))
-    return Model(np.array([np.frombuffer(r[1], "<u4") for r in rows]).reshape(len(rows), BUCKETS), [r[0] for r in rows])
+    x = np.empty((len(rows), BUCKETS), np.float32)
+    for k, r in enumerate(rows):
+        x[k] = np.frombuffer(r[1], "<f4")
+    languages = [r[0] for r in rows]
+    rows.clear()
+    return Model(x, languages)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
