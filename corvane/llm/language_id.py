@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from corvane.llm.common import bounded_batches
+
 BUCKETS, SAMPLE, STEP = 1 << 12, 600, 1 << 20
 #: Families of languages.
 FAMILIES = {
@@ -119,6 +121,7 @@ def held_out(id_col: str) -> Column:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model of the labelled rows outside the held-out fold; about `sample` rows of each language."""
+    bounded_batches(docs.sparkSession)
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
@@ -143,6 +146,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns of `keep` (by default the id) and the prediction of every row, which sees the text alone."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few weights for each pair of languages
     own = list(keep) or [id_col]
     at = own.index(text_col) if text_col in own else len(own)

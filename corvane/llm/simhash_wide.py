@@ -72,7 +72,7 @@ def wide_fingerprints(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = np.array([wide_fingerprint(x, width) for x in b.column(1).to_pylist()], np.uint64).reshape(-1, WORDS).view(np.int64)
+            words = np.array([wide_fingerprint(x.as_py(), width) for x in b.column(1)], np.uint64).reshape(-1, WORDS).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(words[:, k]) for k in range(WORDS))], ["id", "w0", "w1", "w2"])
 
     kind = docs.schema[id_col].dataType.simpleString()
