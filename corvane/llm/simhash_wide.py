@@ -115,7 +115,8 @@ def wide_links(nodes: DataFrame, scratch: Scratch, radius: int) -> DataFrame:
     asked, held = tagged.select("*", F.expr(f"inline({_balls()})")).alias("q"), tagged.select("*", F.expr(f"inline({_keys()})")).alias("t")
     first = " AND ".join(f"(q.seg <= {s} OR bit_count((q.w{s // PER_WORD} ^ t.w{s // PER_WORD}) & {((1 << BITS) - 1) << (BITS * (s % PER_WORD)) if s % PER_WORD < 3 else -(1 << 48)}L) > 1)" for s in range(WORDS * PER_WORD - 1))
     met = asked.join(held, F.expr("q.seg = t.seg AND q.key = t.key AND (NOT q.own OR q.node < t.node) AND q.pivot <> t.pivot") & (_distance("q", "t") <= radius) & F.expr(first))
-    return met.select(F.col("q.node").alias("a"), F.col("t.node").alias("b")).union(stars.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    # the stars tie members to their pivots, so an edge between pivots stands for every pair met between their groups
+    return met.select(F.col("q.pivot").alias("a"), F.col("t.pivot").alias("b")).distinct().union(stars.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
