@@ -2,7 +2,8 @@
 
 Texts become sequences of word numbers of the benchmark's vocabulary (0 for other words). Passages are
 windows of `WINDOW` words at every `STRIDE`, with TF-IDF weights; document frequencies are counted over
-all documents, and words of over `COMMON` of them have no weight. A randomised SVD over all passages
+all documents. Words of over `COMMON` of them have no weight, but the `SURE` rarest words of each item,
+and those nearly as rare, always have one, that of a word at the bound or more, so that an item which leaked often keeps its vector. A randomised SVD over all passages
 gives the latent space: the tasks multiply a random basis by the passages and by their transpose, the
 products are summed by word, and the driver factors the sum, which has as many rows as the benchmark
 has words. The items' own vectors are stacked under the passages
@@ -11,14 +12,16 @@ with the weight `ITEM_SHARE` of the whole, so that the space of `RANK` dimension
 All passages are then compared with the items in that space. Where the cosine reaches `COSINE`, the
 longest common subsequence of the item and every window of a fifth more words near the passage is
 taken, in words. At `COPY` of the item's words or more it is a leak; at `PARAPHRASE` or more it is one if the item's answer,
-its last sentence, stands there word by word.
+its last sentence, stands there word by word. Besides, every text that has all words of an item is searched for
+its words in order, so that whole copies are found whatever the weights.
 
 Items are taken in groups of up to `GROUP`, dealt by a hash, so what the driver and the tasks hold is
 bounded; a larger benchmark takes more rounds.
 
 Edge cases: null and empty texts match nothing; items without words are left out; repeated items are
 compared each, repeated documents give one row a doc_id and item; a null doc_id stays null; empty tables give no
-rows; only id and text are read on both sides. A passage with fewer than three different weighted words is no candidate.
+rows; only id and text are read on both sides. A passage with fewer than three different weighted words is no
+candidate, so items of fewer words are found as whole copies only; cosine is null where no passage reached it.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corvane.llm.common import Scratch
 
-WINDOW, STRIDE, COMMON, RANK, GROUP = 48, 24, 0.02, 256, 256
+WINDOW, STRIDE, COMMON, SURE, RANK, GROUP = 48, 24, 0.02, 8, 256, 256
 ITEM_SHARE, COSINE, COPY, PARAPHRASE, SEED = 0.5, 0.55, 0.65, 0.5, 7
 CHUNK = 1024
 #: ASCII characters other than letters and digits part words
@@ -151,6 +154,18 @@ def _frequencies(sequences: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def word_weights(df: np.ndarray, total: int, items: list[np.ndarray]) -> np.ndarray:
+    """Each word's inverse document frequency, or zero for common words that no item has among its rarest, or nearly as rare as those."""
+    bound = COMMON * max(total, 1)
+    held = df <= bound
+    for x in items:
+        own = np.unique(x)
+        held[own[df[own] <= 1.5 * np.sort(df[own])[:SURE][-1]]] = True
+    weights = np.where(held, np.log((1 + total) / (1 + np.minimum(df, bound))) + 1, 0.0)
+    weights[0] = 0.0
+    return weights
+
+
 def _gram(sequences: DataFrame, weights: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, float]:
     """AᵀA times the basis over all passages A, and the number of passages (their squared norm)."""
     shared = sequences.sparkSession.sparkContext.broadcast((weights, basis))
@@ -207,17 +222,28 @@ def _confirm(text: np.ndarray, start: int, item: list[int], answer: list[int]) -
     return best / len(item), at, there
 
 
-def _leaks(sequences: DataFrame, names: list, items: list[np.ndarray], answers: list[list[int]], weights: np.ndarray, space: np.ndarray, item_kind: str) -> DataFrame:
+def _whole_copy(text: bytes, item: bytes) -> int:
+    """The first word at which the item's word numbers stand in the text's, or -1."""
+    at = text.find(item)
+    while at >= 0 and at % 4:
+        at = text.find(item, at + 1)
+    return at // 4
+
+
+def _leaks(sequences: DataFrame, names: list, items: list[np.ndarray], answers: list[list[int]], df: np.ndarray, weights: np.ndarray, space: np.ndarray, item_kind: str) -> DataFrame:
     own = Passages(items, weights, least=1, whole=True)
     there = np.zeros((len(items), space.shape[1]), np.float32)
     for a, b, x, y in own.chunks():
         there[own.text[a:b]] = own.times(space, a, b, x, y)
     there /= np.maximum(np.linalg.norm(there, axis=1, keepdims=True), 1e-9)
-    shared = sequences.sparkSession.sparkContext.broadcast((weights, space, there, names, [x.tolist() for x in items], answers))
+    shared = sequences.sparkSession.sparkContext.broadcast((weights, space, there, names, items, answers, df))
     kind = sequences.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, space, there, names, items, answers = shared.value
+        weights, space, there, names, arrays, answers, df = shared.value
+        items, raw = [x.tolist() for x in arrays], [x.tobytes() for x in arrays]
+        rarest = np.array([x[np.argmin(df[x])] for x in arrays])
+        present = np.zeros(len(weights), bool)
         for b in batches:
             texts = _arrays(b.column(1))
             rows = Passages(texts, weights)
@@ -231,6 +257,13 @@ def _leaks(sequences: DataFrame, names: list, items: list[np.ndarray], answers:
                     if share >= COPY or share >= PARAPHRASE and said:
                         new = (share, float(cosines[p, i]), at, said)
                         found[t, int(i)] = max(found.get((t, int(i)), new), new)
+            for t, text in enumerate(texts):
+                present[:] = False
+                present[text] = True
+                for i in np.flatnonzero(present[rarest]).tolist():
+                    old = found.get((t, i), (0.0, None))
+                    if old[0] < 1 and present[arrays[i]].all() and (at := _whole_copy(text.tobytes(), raw[i])) >= 0:
+                        found[t, i] = (1.0, old[1], at, _confirm(arrays[i], 0, items[i], answers[i])[2])
             ids = b.column(0).to_pylist()
             cols = list(zip(*[(ids[t], names[i], *v) for (t, i), v in found.items()], strict=True)) or [[]] * 6
             item_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
@@ -259,10 +292,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         sequences = scratch.put(_sequences(docs, vocabulary, id_col, text_col), f"sequences{g}", compression="zstd")
         total = sequences.count()
         df = _frequencies(sequences, len(vocabulary) + 1)
-        weights = np.where(df <= COMMON * max(total, 1), np.log((1 + total) / (1 + df)) + 1, 0.0)
-        weights[0] = 0.0
+        weights = word_weights(df, total, numbers)
         space = latent_space(sequences, numbers, weights)
-        found = scratch.put(_leaks(sequences, [r[0] for r in held], numbers, answers, weights, space, item_kind), f"leaks{g}")
+        found = scratch.put(_leaks(sequences, [r[0] for r in held], numbers, answers, df, weights, space, item_kind), f"leaks{g}")
         scratch.drop(f"sequences{g}")
         out = out.unionByName(found)
     best = F.max(F.struct("share", "cosine", "first_word", "answer"))

@@ -481,3 +481,21 @@ def test_groups_of_items(spark, monkeypatch):
     many = {(r.id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
     monkeypatch.setattr(decontaminate, "GROUP", 256)
     assert many == {(r.id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
+
+
+def test_items_that_leak_often(spark):
+    docs, items = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect(), spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    rnd = random.Random(3)
+    for share in (0.021, 0.3, 1.0):
+        i, short = max(items, key=lambda r: len(r.text)), "qqa qqb"
+        picked = set(rnd.sample(range(400), round(share * 400)))
+        rows, near = [], set()
+        for k, d in enumerate(docs[:400]):
+            w = i.text.split()
+            if k in picked and k % 4 == 0:  # a near copy
+                near.add(k)
+                w = ["zzz" if n % 6 == 2 else x for n, x in enumerate(w)]
+            rows.append((k, f"{d.text}\n{' '.join(w)} {short}\n{d.text[:300]}" if k in picked else d.text))
+        bench = spark.createDataFrame([(r.item_id, r.text) for r in items] + [(-1, short)], "item_id long, text string")
+        got = {(r.id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).where(f"item_id IN (-1, {i.item_id})").collect()}
+        assert near and {(k, i.item_id) for k in picked} | {(k, -1) for k in picked} <= got
