@@ -2,7 +2,7 @@
 
 Texts become sequences of word numbers of the benchmark's vocabulary (0 for other words). Passages are
 windows of `WINDOW` words at every `STRIDE`, with TF-IDF weights; document frequencies are counted over
-all documents. Words of over `COMMON` of them have no weight, but the `SURE` rarest words of each item,
+all documents. Words of over `COMMON` of them, and of more than `FEW`, have no weight, but the `SURE` rarest words of each item,
 and those nearly as rare, always have one, that of a word at the bound or more, so that an item which leaked often keeps its vector. A randomised SVD over all passages
 gives the latent space: the tasks multiply a random basis by the passages and by their transpose, the
 products are summed by word, and the driver factors the sum, which has as many rows as the benchmark
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corvane.llm.common import Scratch
 
-WINDOW, STRIDE, COMMON, SURE, RANK, GROUP = 48, 24, 0.02, 8, 256, 256
+WINDOW, STRIDE, COMMON, FEW, SURE, RANK, GROUP = 48, 24, 0.02, 20, 8, 256, 256
 ITEM_SHARE, COSINE, COPY, PARAPHRASE, SEED = 0.5, 0.55, 0.65, 0.5, 7
 CHUNK = 1024
 #: ASCII characters other than letters and digits part words
@@ -156,7 +156,7 @@ def _frequencies(sequences: DataFrame, size: int) -> np.ndarray:
 
 def word_weights(df: np.ndarray, total: int, items: list[np.ndarray]) -> np.ndarray:
     """Each word's inverse document frequency, or zero for common words that no item has among its rarest, or nearly as rare as those."""
-    bound = COMMON * max(total, 1)
+    bound = max(COMMON * total, FEW)
     held = df <= bound
     for x in items:
         own = np.unique(x)

@@ -499,3 +499,14 @@ def test_items_that_leak_often(spark):
         bench = spark.createDataFrame([(r.item_id, r.text) for r in items] + [(-1, short)], "item_id long, text string")
         got = {(r.id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).where(f"item_id IN (-1, {i.item_id})").collect()}
         assert near and {(k, i.item_id) for k in picked} | {(k, -1) for k in picked} <= got
+
+
+@pytest.mark.parametrize("total", [3, 60])
+def test_leaks_in_small_tables(spark, total):
+    docs, items = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect(), spark.read.parquet(f"{SF}/benchmark.parquet")
+    i, j = sorted(items.collect(), key=lambda r: len(r.text))[-2:]
+    near = " ".join("zzz" if n % 6 == 2 else x for n, x in enumerate(j.text.split()))
+    held = [docs[0].text + "\n" + i.text, docs[1].text + "\n" + i.text + "\n" + near]
+    rows = list(enumerate(held + [d.text for d in docs[2:total]]))
+    got = {(r.id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert {(0, i.item_id), (1, i.item_id), (1, j.item_id)} <= got and (0, j.item_id) not in got
