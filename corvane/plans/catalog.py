@@ -452,8 +452,7 @@ def wiki_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' ELSE printf('%.1f KB', n / 1024.0) END AS shown FROM (SELECT doc_id, strlen(text) AS n FROM documents WHERE strlen(text) < 1048576)")
 def format_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.octet_length("text")
-    return table(spark, sf_dir, "documents").where(n < 1 << 20).select("doc_id", S.format_size(n).alias("shown"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.format_size(F.octet_length("text")).alias("shown"))
 
 
 # ---- knowledge base ------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 import pytest
 from corvane.functions import scalars as S
+from corvane.plans import catalog
 from pyspark.sql import functions as F
 
 
@@ -73,3 +74,10 @@ def test_small_ones(spark):
     assert value(spark, S.import_path(F.lit("{ a } from './x/y'"))) == "./x/y"
     assert value(spark, S.import_path(F.lit("platform ./z;"))) is None
     assert value(spark, S.wiki_links(F.lit("[[A b]] [[c]]\n```\n[[d]]\n```\n[[c]]"))) == ["ab", "c"]
+
+
+def test_format_size_of_a_table(spark, tmp_path):
+    rows = [(1, "x" * 1023), (2, "x" * 1280), (3, "x" * (1 << 20)), (4, "é" * (5 << 18)), (5, None), (6, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.shown for r in catalog.format_size(spark, f"file://{tmp_path}").collect()}
+    assert got == {1: "1023 B", 2: "1.2 KB", 3: "1.0 MB", 4: "2.5 MB", 5: None, 6: "0 B"}
