@@ -76,7 +76,7 @@ class BlobLedger:
 
         One row of each unseen blob is picked by its least key, on narrow rows; only those rows' texts
         move. A run that fails before its append leaves the ledger as it was. If one (key, blob) pair
-        occurs twice, the findings are the same and are kept once.
+        occurs twice, one of its rows is scanned.
         """
         seen = self.read().where(F.col("rule_version") == rule_version).select("blob_id")
         picked = addressed.groupBy("blob_id").agg(F.min(key).alias("one")).join(seen, "blob_id", "left_anti")
@@ -84,7 +84,7 @@ class BlobLedger:
         blobs = chosen.alias("c").join(
             picked.hint("shuffle_hash").alias("p"), (F.col("c.blob_id") == F.col("p.blob_id")) & F.col("c.one").eqNullSafe(F.col("p.one")), "left_semi"
         )
-        found = scan(blobs).distinct().groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct("start", "k", "kind", "end"))).alias("findings"))
+        found = scan(blobs.dropDuplicates(["blob_id"])).groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct("start", "k", "kind", "end"))).alias("findings"))
         rows = picked.select("blob_id").join(found, "blob_id", "left")
         rows.select("blob_id", F.lit(rule_version).alias("rule_version"), F.coalesce("findings", F.expr("CAST(array() AS array<struct<start:bigint,k:int,kind:string,end:bigint>>)")).alias("findings")).write.mode("append").parquet(self.path)
 

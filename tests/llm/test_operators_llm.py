@@ -430,6 +430,13 @@ def test_ledger_scans_each_blob_once(spark, tmp_path):
     assert len(rows()) == 4
 
 
+def test_secrets_of_repeated_rows(spark):
+    texts = [f"é {SECRETS[0]}", "x " + SECRETS[1]]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[1])]
+    got = secret_scan.digests(secret_scan.scan_versions(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sorted((str(r.doc_id), r.spans) for r in got) == sorted((str(k), slow_spans(t)) for k, t in rows)
+
+
 def test_redact(spark, odd):
     docs = spark.createDataFrame([(1, "é token=abcdef12 and " + "0" * 24, 9), (2, None, 3), (3, "clean", 5), (1, "password='" + "a1" * 12 + "' end", 1)], "doc_id long, text string, n_chars int")
     assert sorted((r.doc_id, str(r.text), r.n_chars) for r in secret_scan.redact(docs).collect()) == [(1, "[assign]' end", 13), (1, "é [assign] and [hex]", 20), (2, "None", 3), (3, "clean", 5)]
