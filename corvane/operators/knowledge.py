@@ -104,10 +104,12 @@ def compound(pages: DataFrame, synthesis: str, title: str | None = None, source_
     if best and best["score"] >= 20:
         return "append", best["id"]
     row = pages.sparkSession.range(1).select(S.derive_topic_id(F.lit(title or synthesis)).alias("i")).first()
-    taken = {r[0] for r in pages.where(F.startswith("id", F.lit(row["i"]))).select("id").limit(1000).collect()}
-    name, k = row["i"], 2
-    while name in taken:
-        name, k = f"{row['i']}-{k}", k + 1
+    name = row["i"]
+    number = F.when(F.col("id") == name, 1).otherwise(F.expr("try_cast(substring_index(id, '-', -1) AS bigint)"))
+    taken = pages.select("id", number.alias("n")).where((F.col("id") == name) | (F.col("n") >= 2) & (F.col("id") == F.concat(F.lit(f"{name}-"), F.col("n").cast("string")))).select("n").distinct()
+    if not taken.where("n = 1").isEmpty():
+        free = taken.select((F.col("n") + 1).alias("n")).join(taken, "n", "left_anti").agg(F.min("n")).first()[0]
+        name = f"{name}-{free}"
     return "create", name
 
 

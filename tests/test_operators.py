@@ -146,3 +146,11 @@ def test_debounce_stream(spark, tmp_path):
     assert got == [("a", at(0), 2), ("a", at(10), 1)]
     batch = sorted((r.key, r.start, r.events) for r in changes.sessions_batch(spark.createDataFrame(rows, "key string, ts timestamp"), 5).collect())
     assert batch == [("a", at(0), 2), ("a", at(10), 1), ("b", at(1000), 1)]
+
+
+def test_compound_takes_a_free_id(spark):
+    columns = "ord long, id string, title string, content string, page_type string"
+    ids = [f"topic-some-words-x{k}" for k in range(1500)] + ["topic-some-words"] + [f"topic-some-words-{k}" for k in range(2, 1300)] + ["topic-some-words-1301", "topic-some-words-01300"]
+    pages = spark.createDataFrame([(k, i, "", "", "index") for k, i in enumerate(ids)], columns)
+    assert knowledge.compound(pages, "zzz", title="some words") == ("create", "topic-some-words-1300")
+    assert knowledge.compound(pages.where("id <> 'topic-some-words'"), "zzz", title="some words") == ("create", "topic-some-words")
