@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a temporary folder takes its place.
+    Where that is unset, a session on one machine gets a temporary folder; on a cluster it is an error,
+    since its machines share no local folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
@@ -36,6 +39,38 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: a table of a size known beforehand is broadcast up to this
+BROADCAST_BYTES = 8 << 20
+
+
+def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """`df`, to be broadcast if its `rows` (counted before) of `row_bytes` are within BROADCAST_BYTES; else shuffled."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added to those that `df` has already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A digest of a row's id and text, never null: rows that agree in both have one fate in every stage."""
+    part = lambda c: F.coalesce(F.concat(F.lit("+"), quoted(c).cast("string")), F.lit("-"))
+    return F.sha2(F.concat(part(id_col), F.lit("\n"), part(text_col)), 256)
+
+
 class Scratch:
     """Tables written into the shared folder: they cut lineage and outlive lost executors."""
 
@@ -51,11 +86,11 @@ class Scratch:
         df.write.options(**options).mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Remove a table that nothing reads any more."""
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+    def drop(self, *names: str) -> None:
+        """Remove tables that nothing reads any more."""
+        for name in names:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:

@@ -6,6 +6,11 @@ rule version is not in the ledger, reads one representative row of each, appends
 joins the ledger back to all paths. So a text that is copied, moved back, or seen in an earlier run is
 scanned once for each rule version.
 
+The unseen pairs are written as a narrow table before any text is looked at. The rows that they pick go
+through an aggregate (one row of each blob), which the optimiser moves no filter across, so the regular
+expressions meet unseen texts alone. Where the pairs are few, by their count, they are broadcast and no
+seen text moves; else one exchange of texts serves both the join and the aggregate.
+
 Positions come from splitting the text at the matches: the pieces before, and the lengths of the
 matches, add up to starts in code points. All of it is built-in SQL.
 
@@ -17,9 +22,9 @@ input only the key columns and the text are read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from corvane.llm.common import Scratch
+from corvane.llm.common import Scratch, fresh, quoted, small
 
 #: Kind, pattern whose leftmost matches count, group whose length is tested, least length.
 RULES = (
@@ -34,6 +39,15 @@ PATTERNS = {"assign": RULES[0][1], "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-
 RULE_VERSION = "base-1"
 
 
+#: bytes of a picked pair: a digest in hexadecimal, a key and the row around them
+PICKED_BYTES = 160
+NO_FINDINGS = "CAST(array() AS array<struct<start:bigint,k:int,kind:string,end:bigint>>)"
+
+
+def _spot(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("string"), F.lit(""))
+
+
 def content_address(versions: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with a column blob_id."""
     return versions.withColumn("blob_id", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
@@ -71,26 +85,36 @@ class BlobLedger:
             return self.spark.createDataFrame([], self.SCHEMA)
         return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
-    def update(self, addressed: DataFrame, key: str, rule_version: str = RULE_VERSION) -> None:
-        """Scan what `addressed` (key, blob_id, text) has and the ledger lacks for this rule version.
+    def unseen(self, addressed: DataFrame, key: str, rule_version: str = RULE_VERSION) -> DataFrame:
+        """(blob_id, spot) of each blob that the ledger lacks for this rule version; spot is its least key, as text."""
+        seen = self.read().where(F.col("rule_version") == rule_version).select("blob_id").distinct()
+        return addressed.groupBy("blob_id").agg(F.min(_spot(key)).alias("spot")).join(seen, "blob_id", "left_anti")
+
+    def blobs(self, addressed: DataFrame, key: str, picked: DataFrame, count: int) -> DataFrame:
+        """(blob_id, text) of the picked blobs, once each, however often a row is repeated."""
+        rows = addressed.select("blob_id", _spot(key).alias("spot"), F.coalesce("text", F.lit("")).alias("text"))
+        few = small(picked, count, PICKED_BYTES)
+        return rows.join(few, ["blob_id", "spot"], "left_semi").dropDuplicates(["blob_id", "spot"]).select("blob_id", "text")
+
+    def update(self, addressed: DataFrame, key: str, rule_version: str = RULE_VERSION) -> int:
+        """Scan what `addressed` (key, blob_id, text) has and the ledger lacks; returns the number of blobs scanned.
 
-        One row of each unseen blob is picked by its least key, on narrow rows; only those rows' texts
-        move. A run that fails before its append leaves the ledger as it was. If one (key, blob) pair
-        occurs twice, one of its rows is scanned.
+        A run that fails before its append leaves the ledger as it was; runs side by side may append a
+        blob twice, which `findings` reads once.
         """
-        seen = self.read().where(F.col("rule_version") == rule_version).select("blob_id")
-        picked = addressed.groupBy("blob_id").agg(F.min(key).alias("one")).join(seen, "blob_id", "left_anti")
-        chosen = addressed.select(F.col(key).alias("one"), "blob_id", F.coalesce("text", F.lit("")).alias("text"))
-        blobs = chosen.alias("c").join(
-            picked.hint("shuffle_hash").alias("p"), (F.col("c.blob_id") == F.col("p.blob_id")) & F.col("c.one").eqNullSafe(F.col("p.one")), "left_semi"
-        )
-        found = scan(blobs.dropDuplicates(["blob_id"])).groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct("start", "k", "kind", "end"))).alias("findings"))
-        rows = picked.select("blob_id").join(found, "blob_id", "left")
-        rows.select("blob_id", F.lit(rule_version).alias("rule_version"), F.coalesce("findings", F.expr("CAST(array() AS array<struct<start:bigint,k:int,kind:string,end:bigint>>)")).alias("findings")).write.mode("append").parquet(self.path)
+        scratch = Scratch(self.spark, "unseen")
+        picked = scratch.put(self.unseen(addressed, key, rule_version), "picked")
+        count = picked.count()
+        if count:
+            found = scan(self.blobs(addressed, key, picked, count)).groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct("start", "k", "kind", "end"))).alias("findings"))
+            rows = picked.select("blob_id").join(found, "blob_id", "left")
+            rows.select("blob_id", F.lit(rule_version).alias("rule_version"), F.coalesce("findings", F.expr(NO_FINDINGS)).alias("findings")).write.mode("append").parquet(self.path)
+        scratch.drop("picked")
+        return count
 
     def findings(self, rule_version: str = RULE_VERSION) -> DataFrame:
         """(blob_id, findings) of the blobs with any."""
-        return self.read().where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob_id", "findings")
+        return self.read().where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob_id", "findings").dropDuplicates(["blob_id"])
 
 
 def scan_versions(versions: DataFrame, ledger_path: str | None = None, key: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
@@ -109,7 +133,7 @@ def scan_versions(versions: DataFrame, ledger_path: str | None = None, key: str
 
 def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_<kind>..., base_sha256, spans) of scan_versions' rows."""
-    rows = found.withColumn("findings", F.coalesce("findings", F.expr("CAST(array() AS array<struct<start:bigint,k:int,kind:string,end:bigint>>)")))
+    rows = found.withColumn("findings", F.coalesce("findings", F.expr(NO_FINDINGS)))
     spans = F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     counts = [F.expr(f"CAST(size(filter(findings, x -> x.k = {k})) AS bigint)").alias(f"n_{kind}") for k, (kind, *_) in enumerate(RULES)]
     return rows.select(key, *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
@@ -118,28 +142,29 @@ def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, key: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """All rows and columns, with each secret replaced by `[kind]`; overlapping spans are one, of the first kind.
 
-    The length column, where there is one, gets the new text's length in changed rows.
+    The length column, where there is one, gets the new text's length in changed rows. Columns of any
+    name are carried unchanged.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "redact")
     ledger = BlobLedger(spark, scratch.path("ledger"))
-    ledger.update(content_address(docs.select(key, F.col(text_col).alias("text"))), key)
-    found = ledger.findings().withColumnsRenamed({"blob_id": "_blob", "findings": "_findings"})
-    joined = docs.withColumn("_at", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(found, F.col("_at") == F.col("_blob"), "left")
+    ledger.update(content_address(docs.select(F.col(key), F.col(text_col).alias("text"))), key)
+    at, blob, hits, made = fresh(docs, "_at", "_blob", "_findings", "_text")
+    found = ledger.findings().withColumnsRenamed({"blob_id": blob, "findings": hits})
+    joined = docs.withColumn(at, F.sha2(F.coalesce(quoted(text_col), F.lit("")), 256)).join(found, F.col(at) == F.col(blob), "left")
     pieces = (
-        "aggregate(_findings, struct(0L AS pos, CAST(array() AS array<string>) AS out), (a, x) -> IF(x.start < a.pos, struct(greatest(a.pos, x.end) AS pos, a.out AS out), "
+        f"aggregate({hits}, struct(0L AS pos, CAST(array() AS array<string>) AS out), (a, x) -> IF(x.start < a.pos, struct(greatest(a.pos, x.end) AS pos, a.out AS out), "
         f"struct(x.end AS pos, concat(a.out, array(substring(`{text_col}`, CAST(a.pos + 1 AS int), CAST(x.start - a.pos AS int)), concat('[', x.kind, ']'))) AS out)), "
         f"a -> concat(array_join(a.out, ''), substring(`{text_col}`, CAST(a.pos + 1 AS int))))"
     )
-    changed = F.col("_findings").isNotNull()
-    text = F.when(changed, F.expr(pieces)).otherwise(F.col(text_col))
-    out = joined.withColumn("_text", text)
+    changed = F.col(hits).isNotNull()
+    out = joined.withColumn(made, F.when(changed, F.expr(pieces)).otherwise(quoted(text_col)))
     cols = []
     for c, kind in docs.dtypes:
         if c == text_col:
-            cols.append(F.col("_text").alias(c))
+            cols.append(F.col(made).alias(c))
         elif c == length_col:
-            cols.append(F.when(changed, F.length("_text").cast(kind)).otherwise(F.col(c)).alias(c))
+            cols.append(F.when(changed, F.length(made).cast(kind)).otherwise(quoted(c)).alias(c))
         else:
-            cols.append(F.col(c))
+            cols.append(quoted(c))
     return out.select(*cols)
