@@ -137,19 +137,19 @@ SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes, md5(coalesce
 @register
 def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best vectors of every fiftieth one."""
-    vectors = maxscore.quantised(table(spark, sf_dir, "embeddings"))
+    vectors = maxscore.numbered(maxscore.quantised(table(spark, sf_dir, "embeddings")), Scratch(spark, "embeddings"))
     return maxscore.top_k(vectors, vectors.where("id % 50 = 0")).withColumnRenamed("id", "vec_id")
 
 
 ORACLES["op6_maxscore"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.v, v.v) AS BIGINT) AS score
-  FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
+  SELECT q.rid, q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.v, v.v) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND v.rid <> q.rid)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) <= 5"""
 
 
 @register

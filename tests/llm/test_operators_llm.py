@@ -8,8 +8,10 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 llm = pytest.importorskip("corvane.llm")
+from corvane.llm.common import Scratch  # noqa: E402
 from corvane.llm import compaction, decontaminate, huffman_ids, language_id, maxscore, packing, queries, quote_linking, secret_scan, simhash_dedup, simhash_wide, token_ids, url_filter  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -349,24 +351,40 @@ def test_keep_one(spark, odd, none):
 
 @pytest.mark.parametrize("density", [1.0, 0.1])
 def test_maxscore(spark, density, monkeypatch):
-    monkeypatch.setattr(maxscore, "RUN", 32)
+    monkeypatch.setattr(maxscore, "BLOCK", 32)
     monkeypatch.setattr(maxscore, "SHARD", 100)
+    monkeypatch.setattr(maxscore, "QUERIES", 3)
     r = np.random.default_rng(5)
     x = np.where(r.random((300, 12)) < density, r.normal(size=(300, 12)), 0).astype(np.float32)
     x[50:60] = x[40:50]  # ties
-    rows = [(k, [float(v) for v in x[k]], 0) for k in range(300)] + [(900, None, 0), (950, [float("nan")] * 12, 0), (1000, [None, 1.0], 0), (1050, [float("inf")], 0), (1100, [], 0), (None, [1.0], 0), (1, [float(v) for v in x[1]], 0)]
-    v = maxscore.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int"))
+    rows = [(k, [float(v) for v in x[k]], 0) for k in range(300)] + [(900, None, 0), (950, [float("nan")] * 12, 0), (1000, [None, 1.0], 0), (1050, [float("inf")], 0), (1100, [], 0), (None, [1.0], 0), (1, [float(v) for v in x[1]], 0), (50, [float(v) for v in x[50]], 0)]
+    v = maxscore.numbered(maxscore.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int")), Scratch(spark, "vectors"))
     held = [(i, [int(np.floor(256 * float(e))) for e in vec]) for i, vec, _ in rows if i is not None and vec is not None and all(e is not None and np.isfinite(e) for e in vec)]
     want = []
-    for q, vec in sorted({(i, tuple(vec)) for i, vec in held if i % 50 == 0}):
-        s = sorted((-sum(a * b for a, b in zip(vec, w, strict=False)), i) for i, w in held if i != q)[:5]
-        want += [(q, k + 1, i, -n) for k, (n, i) in enumerate(s)]
+    for own, (q, vec) in enumerate(held):
+        if q % 50 == 0:
+            s = sorted((-sum(a * b for a, b in zip(vec, w, strict=False)), i) for n, (i, w) in enumerate(held) if n != own)[:5]
+            want += [(q, k + 1, i, -n) for k, (n, i) in enumerate(s)]
     assert sorted(map(tuple, maxscore.top_k(v, v.where("id % 50 = 0")).collect())) == sorted(want)
     assert maxscore.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_non_essential_terms_are_skipped():
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pydict()
+    x = np.floor(256 * np.array(rows["embedding"], np.float64))
+    ids = np.array(rows["vec_id"])
+    shard = maxscore.Shard(np.arange(len(ids)), ids, x)
+    for at in np.flatnonzero(ids % 50 == 0):
+        score = x @ x[at]
+        order = [n for n in np.lexsort((ids, -score)) if n != at][:5]
+        assert [(s, i) for s, i, _ in shard.search(x[at], int(at), 5)] == [(int(score[n]), int(ids[n])) for n in order]
+    assert shard.work["traversed"] + shard.work["probed"] < shard.work["asked"] and shard.work["traversed"] < 0.75 * shard.work["asked"], shard.work
+
+
 def test_large_components(spark):
-    v = maxscore.quantised(spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0])], "vec_id long, embedding array<double>"))
+    v = maxscore.quantised(spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0])], "vec_id long, embedding array<double>")).withColumn("row", F.col("id"))
     got = maxscore.top_k(v, v.where("id = 0")).orderBy("rank").collect()
     assert [(r.id, r.score) for r in got] == [(1, 2**63 - 1), (2, -(2**63))]
 
@@ -430,6 +448,21 @@ def test_ledger_scans_each_blob_once(spark, tmp_path):
     assert len(rows()) == 4
 
 
+def test_seen_texts_meet_no_pattern(spark, tmp_path, monkeypatch):
+    docs = secret_scan.content_address(spark.createDataFrame([(k, f"password=hunter{k % 7}") for k in range(50)], "doc_id long, text string"))
+    ledger = secret_scan.BlobLedger(spark, f"file:{tmp_path}/ledger")
+    for limit in (0, 8 << 20):  # shuffled and broadcast
+        monkeypatch.setattr("corvane.llm.common.BROADCAST_BYTES", limit)
+        plan = secret_scan.scan(ledger.blobs(docs, "doc_id", ledger.unseen(docs, "doc_id"), 7))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        patterns = [k for k, line in enumerate(plan) if "RLIKE" in line]
+        aggregate = next(k for k, line in enumerate(plan) if "Aggregate [blob_id" in line)
+        assert patterns and max(patterns) < aggregate < next(k for k, line in enumerate(plan) if "LeftSemi" in line)
+    assert ledger.update(docs, "doc_id") == 7 and ledger.update(docs, "doc_id") == 0
+    assert ledger.blobs(docs, "doc_id", ledger.unseen(docs, "doc_id"), 0).isEmpty()
+    more = secret_scan.content_address(spark.createDataFrame([(1, "password=hunter1"), (60, "new")], "doc_id long, text string"))
+    assert [r.text for r in ledger.blobs(more, "doc_id", ledger.unseen(more, "doc_id"), 1).collect()] == ["new"] and ledger.update(more, "doc_id") == 1
+
+
 def test_secrets_of_repeated_rows(spark):
     texts = [f"é {SECRETS[0]}", "x " + SECRETS[1]]
     rows = [(1, texts[0]), (1, texts[0]), (2, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[1])]
@@ -441,6 +474,9 @@ def test_redact(spark, odd):
     docs = spark.createDataFrame([(1, "é token=abcdef12 and " + "0" * 24, 9), (2, None, 3), (3, "clean", 5), (1, "password='" + "a1" * 12 + "' end", 1)], "doc_id long, text string, n_chars int")
     assert sorted((r.doc_id, str(r.text), r.n_chars) for r in secret_scan.redact(docs).collect()) == [(1, "[assign]' end", 13), (1, "é [assign] and [hex]", 20), (2, "None", 3), (3, "clean", 5)]
     assert secret_scan.redact(odd).columns == odd.columns and secret_scan.redact(odd).count() == odd.count()
+    names = ["_at", "_blob", "_findings", "_text", "blob_id", "findings", "a.b"]
+    clash = spark.createDataFrame([(1, "token=abcdef12", 14, *names)], "doc_id long, text string, n_chars int, " + ", ".join(f"`{c}` string" for c in names))
+    assert [tuple(r) for r in secret_scan.redact(clash).collect()] == [(1, "[assign]", 8, *names)]
 
 
 # ---- op10 ------------------------------------------------------------------------------------------
