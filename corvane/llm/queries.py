@@ -23,40 +23,43 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: The rules of op4, and the names of sites whose crawled URLs make up its list.
+#: The rules of op4.
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-LISTED_SITES = ("casino-win", "free-bets", "spam-farm")
+#: The list, for Spark and for the oracle: one crawled URL in seven, whatever its site, as another crawl spells it. All pages are judged.
+URL_LIST = """
+  SELECT concat('HTTP://WWW.', regexp_replace(split_part(url, '#', 1), '^[A-Za-z]+://(www[.]|m[.])?', ''),
+                CASE WHEN split_part(url, '#', 1) LIKE '%?%' THEN '&ref=list' ELSE '/?utm_source=list' END, '#top') AS url
+  FROM pages WHERE page_id % 7 = 0 AND url LIKE '%://%'"""
 
 
 @register
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict of every page: the list has the canonical URL of each page crawled from a listed site."""
+    """Verdict of every page by the rules and by a list of URLs in another spelling."""
     pages = table(spark, sf_dir, "pages")
-    listed = pages.where(url_filter.host_of(F.col("url")).rlike(f"(^|[.])({'|'.join(LISTED_SITES)})[.]")).select("url")
-    found = url_filter.judge(pages, listed, URL_RULES)
+    found = url_filter.judge(pages, spark.sql(URL_LIST.replace("FROM pages", "FROM {pages}"), pages=pages), URL_RULES)
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-ORACLES["op4_url_filter"] = """
-WITH a AS (
-  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ORACLES["op4_url_filter"] = f"""
+WITH every AS (SELECT page_id, url, false AS listed FROM pages UNION ALL SELECT NULL, url, true FROM ({URL_LIST})),
+a AS (
+  SELECT page_id, listed, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM every),
 b AS (
-  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, listed, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1) AS query FROM a),
 c AS (
   SELECT *, array_to_string(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref)(=|$)')), '&') AS kept FROM b),
 d AS (
-  SELECT page_id, host, path, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)[.]', '') || regexp_replace(path, '/+$', '')
+  SELECT page_id, listed, host, path, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)[.]', '') || regexp_replace(path, '/+$', '')
          || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canon FROM c),
-listed AS (SELECT DISTINCT canon FROM d WHERE regexp_matches(host, '(^|[.])(casino-win|free-bets|spam-farm)[.]')),
 r AS (
   SELECT d.*, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
                    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
                    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
-                   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM d)
+                   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM d WHERE NOT listed)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-            WHEN canon IN (SELECT canon FROM listed WHERE canon IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict
+            WHEN canon IN (SELECT canon FROM d WHERE listed AND canon IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict
 FROM r"""
 
 
@@ -109,29 +112,75 @@ def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_ids.read_store(spark, path).withColumnRenamed("id", "doc_id")
 
 
-@register
-def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message without its quotes, with its place in reply order."""
-    return quote_linking.conversations(table(spark, sf_dir, "conversations"))
+#: Replies as mail has them, for Spark and for the oracle: but for every fourth turn, which starts anew, a turn
+#: quotes the whole turn before it in other case and spacing, and every third one, a level deeper, the turn before that.
+REPLIES = """
+one AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn),
+near AS (
+  SELECT c.conv_id, c.turn, c.role, coalesce(c.text, '') AS own, CASE WHEN c.turn % 4 <> 0 THEN a.text END AS last, CASE WHEN c.turn % 3 = 2 THEN b.text END AS older
+  FROM conversations c LEFT JOIN one a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN one b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2),
+replies AS (
+  SELECT conv_id, turn, role, own, last, older,
+         concat(CASE WHEN older IS NULL THEN '' ELSE concat('> > ', replace(older, chr(10), concat(chr(10), '>>')), chr(10)) END,
+                CASE WHEN last IS NULL THEN '' ELSE concat('>', replace(replace(translate(last, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' ', '  '), chr(10), concat(chr(10), ' > ')), chr(10)) END,
+                own) AS text
+  FROM near)"""
 
 
-#: The oracle holds where no message has a quote mark, as in the driver's tables; quotes are tested on fixtures.
-ORACLES["op1_quote_linking"] = """
-SELECT conv_id, turn, role, trim(coalesce(text, '')) AS body, CAST(0 AS BIGINT) AS n_quotes, CAST(0 AS BIGINT) AS n_linked,
-       CAST(NULL AS BIGINT) AS parent_turn, turn AS root_turn, 0 AS depth FROM conversations"""
+@register
+def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message, written as a reply that quotes the turns before it, without its quotes and with its place in reply order."""
+    talk = table(spark, sf_dir, "conversations")
+    replies = spark.sql(f"WITH {REPLIES.replace('FROM conversations', 'FROM {talk}')} SELECT conv_id, turn, role, text FROM replies", talk=talk)
+    return quote_linking.conversations(replies)
+
+
+_NORMAL = "trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\s+', ' ', 'g'))"
+_PASSAGES = """(
+  SELECT {key}, {text} AS x, 2 AS part FROM replies WHERE {text} IS NOT NULL
+  UNION ALL SELECT {key}, unnest(string_split_regex({text}, '\\n[ \\t]*\\n')), 1 FROM replies WHERE {text} IS NOT NULL
+  UNION ALL SELECT {key}, unnest(string_split({text}, chr(10))), 0 FROM replies WHERE {text} IS NOT NULL)"""
+#: The oracle knows what every reply quotes, looks for the earliest turn that says so, and walks the threads. It holds where no original has a quote mark, as in the driver's tables.
+ORACLES["op1_quote_linking"] = f"""
+WITH RECURSIVE {REPLIES},
+said AS (SELECT conv_id, {_NORMAL.format("x")} AS p, min(turn) AS source FROM {_PASSAGES.format(key="conv_id, turn", text="own")} GROUP BY ALL),
+asked AS (
+  SELECT conv_id, turn, 1 AS level, part, {_NORMAL.format("x")} AS p FROM {_PASSAGES.format(key="conv_id, turn", text="last")}
+  UNION SELECT conv_id, turn, 2, part, {_NORMAL.format("x")} FROM {_PASSAGES.format(key="conv_id, turn", text="older")}),
+links AS (SELECT conv_id, turn, level, part, p, source FROM asked JOIN said USING (conv_id, p) WHERE p <> '' AND source < turn),
+parents AS (
+  SELECT conv_id, turn, count(DISTINCT (level, p)) AS n_linked, arg_max(source, (-level, part, source)) AS parent FROM links GROUP BY conv_id, turn),
+walk AS (
+  SELECT conv_id, turn, parent AS up, 1 AS depth FROM parents
+  UNION ALL SELECT w.conv_id, w.turn, q.parent, w.depth + 1 FROM walk w JOIN parents q ON q.conv_id = w.conv_id AND q.turn = w.up),
+ends AS (SELECT conv_id, turn, max(depth) AS depth, arg_max(up, depth) AS root FROM walk GROUP BY conv_id, turn)
+SELECT conv_id, turn, role, trim(own, concat(' ', chr(9), chr(10), chr(12), chr(13))) AS body,
+       CAST(CASE WHEN {_NORMAL.format("last")} <> '' THEN 1 ELSE 0 END + CASE WHEN {_NORMAL.format("older")} <> '' THEN 1 ELSE 0 END AS BIGINT) AS n_quotes,
+       CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, parent AS parent_turn, coalesce(root, turn) AS root_turn, CAST(coalesce(depth, 0) AS INTEGER) AS depth
+FROM replies LEFT JOIN parents USING (conv_id, turn) LEFT JOIN ends USING (conv_id, turn)"""
+
+
+#: arrivals that the documents come in
+ARRIVALS = 8
 
 
 @register
 def op2_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as read back from the compacted store, with the version that holds it."""
+    """Every document as read back from the store after its arrivals, dealt by a hash of the row, were merged.
+
+    `arrivals` and `merged` tell of the manifests: versions that appends made, and whether the latest has fewer files than those.
+    """
     store = compaction.Store(spark, Scratch(spark, "compaction").root)
-    store.append(table(spark, sf_dir, "documents"))
-    store.compact()
-    return compaction.file_digest(store.read()).withColumn("compacted", F.lit(store.version() > 0))
+    arrivals = store.append_each(table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(ARRIVALS)))
+    before = store.version()
+    after = store.compact()
+    merged = store.files(after).count() < store.files(before).count()
+    return compaction.file_digest(store.read(after)).withColumns({"arrivals": F.lit(arrivals).cast("bigint"), "merged": F.lit(merged)})
 
 
+#: Every arrival has rows, and at least one file, so eight small ones are merged.
 ORACLES["op2_size_tiered_compaction"] = """
-SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes, md5(coalesce(text, '')) AS text_md5, true AS compacted FROM documents"""
+SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes, md5(coalesce(text, '')) AS text_md5, CAST(8 AS BIGINT) AS arrivals, true AS merged FROM documents"""
 
 
 @register

@@ -66,6 +66,56 @@ def test_quotes(spark):
     assert got[1, 5].parent_turn == 0 and got[1, 3].body == "" and got[1, 3].root_turn == 3
     assert got[3, 0].parent_turn is None and got[3, 0].body == "" and got[None, 1].n_linked == 0
     assert quote_linking.conversations(m.limit(0)).count() == 0
+    crlf = spark.createDataFrame([(1, 0, "u", "a\r\nb"), (1, 1, "u", "> a\r\n\r\nreply\r\nmore")], "conv_id long, turn long, role string, text string")
+    assert sorted((r.turn, r.body) for r in quote_linking.conversations(crlf).collect()) == [(0, "a\nb"), (1, "reply\nmore")]
+
+
+def slow_conversations(rows):
+    """Bodies, quotes and parents by a loop over a conversation's messages."""
+    normal = lambda x: re.sub(r"[ \t\n\x0b\f\r]+", " ", x.translate({c: c + 32 for c in range(65, 91)})).strip(" ")
+    every = lambda x: [(2, x), *((1, p) for p in re.split("\n[ \t]*\n", x)), *((0, p) for p in x.split("\n"))]
+    said, out = {}, {}
+    for conv, turn, _, text in sorted(rows, key=lambda r: r[:2]):
+        blocks = []
+        for line in re.sub("\r\n?", "\n", text).split("\n"):
+            mark = re.match(r"(?:[ \t]*>)+[ \t]?", line)
+            level, line = (mark[0].count(">"), line[mark.end() :]) if mark else (0, line)
+            if blocks and blocks[-1][0] == level:
+                blocks[-1][1].append(line)
+            else:
+                blocks.append((level, [line]))
+        quotes = [(n, "\n".join(b)) for n, b in blocks if n and normal("\n".join(b))]
+        body = "\n".join(x for n, b in blocks if not n for x in b).strip(" \t\n\r\f")
+        found = {(n, part, p, said[conv, p]) for n, b in quotes for part, x in every(b) if (p := normal(x)) and (conv, p) in said}
+        parent = max(((-n, part, s) for n, part, _, s in found), default=(0, 0, None))[2]
+        out[conv, turn] = (body, len(quotes), len({(n, p) for n, _, p, _ in found}), parent)
+        for _, x in every(body):
+            if normal(x):
+                said.setdefault((conv, normal(x)), turn)
+    return out
+
+
+def test_quotes_against_a_loop(spark):
+    """Nested quotes that are cut, wrapped anew, of other case, and of whole, some or no paragraphs."""
+    rnd = random.Random(3)
+    rows, texts = [], {}
+    for conv in range(12):
+        for turn in range(9):
+            own = "\n\n".join("\n".join(" ".join(rnd.choice(["Alpha", "beta", "Gamma", "d"]) for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(1, 2))) for _ in range(rnd.randint(1, 3)))
+            quotes = []
+            for _ in range(rnd.randint(0, 2)):
+                if turn:
+                    parts = texts[conv, rnd.randrange(turn)].split("\n\n")
+                    some = "\n\n".join(parts[rnd.randrange(len(parts)) :])
+                    some = rnd.choice([str.upper, str.lower, lambda x: x.replace(" ", "\t ")])(some)
+                    mark = rnd.choice(["> ", ">", "> > ", ">>> "])
+                    quotes.append("\n".join(mark + x for x in some.split("\n")))
+            texts[conv, turn] = own
+            rows.append((conv, turn, "u", rnd.choice(["\n", "\r\n"]).join([*quotes, own, *rnd.choice([[], ["> nobody said so"], [""]])])))
+    got = quote_linking.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    want = slow_conversations(rows)
+    assert {(r.conv_id, r.turn): (r.body, r.n_quotes, r.n_linked, r.parent_turn) for r in got} == want
+    assert sum(v[2] > 1 for v in want.values()) > 20
 
 
 def test_long_threads(spark):
@@ -78,7 +128,8 @@ def test_long_threads(spark):
 # ---- op2 -------------------------------------------------------------------------------------------
 
 
-def test_compaction(spark, odd, none, tmp_path):
+def test_compaction(spark, odd, none, tmp_path, monkeypatch):
+    monkeypatch.setattr(compaction, "CHECKPOINT", 3)
     s = compaction.Store(spark, f"file:{tmp_path}/s", target_bytes=30_000, smallest_bytes=1000, fanout=3)
     assert s.version() == 0
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
@@ -93,7 +144,7 @@ def test_compaction(spark, odd, none, tmp_path):
     assert sorted(map(tuple, s.read().collect())) == sorted(map(tuple, docs.collect()))
     tiers = [f.tier for f in files if f.bytes < 15_000]
     assert all(tiers.count(t) < 3 for t in set(tiers))
-    assert not s._commit([], s.version())  # another writer's version stays
+    assert not s._commit([], [], s.version(), s.version())  # another writer's version stays
     assert s.vacuum() > 0 and s.read().count() == docs.count()
     t = compaction.Store(spark, f"file:{tmp_path}/t")
     t.append(odd)
@@ -101,6 +152,41 @@ def test_compaction(spark, odd, none, tmp_path):
     assert compaction.file_digest(odd).count() == odd.count()
 
 
+def test_each_arrival_is_a_version(spark, odd, none, tmp_path, monkeypatch):
+    monkeypatch.setattr(compaction, "RUN_FILES", 4)
+    s = compaction.Store(spark, f"file:{tmp_path}/s")
+    odd = odd.withColumn("arrival", F.lit("mine"))
+    assert s.append_each(odd, F.coalesce(F.col("doc_id") % 3, F.lit(None))) == 4 == s.version()  # null is an arrival too
+    counts = [s.read(v).count() for v in range(1, 5)]
+    assert counts == sorted(set(counts)) and counts[-1] == odd.count() and s.read().columns == odd.columns
+    assert s.compact() > 4 and s.files().count() < s.files(4).count() and s.read().where("arrival = 'mine'").count() == odd.count()
+    e = compaction.Store(spark, f"file:{tmp_path}/e")
+    assert e.append_each(none, F.lit(1)) == 0 and e.version() == 1 and e.compact() == 1 and e.read().count() == 0 and e.read().columns == none.columns
+
+
+def test_torn_commits_are_no_versions(spark, tmp_path):
+    """A writer that died between making a commit file and filling it leaves a store that works."""
+    s = compaction.Store(spark, f"file:{tmp_path}/s")
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    s.append(rows(1))
+    for k, torn in enumerate((b"", b'{"chan', b"[1]")):
+        path = tmp_path / "s" / "commits" / f"{s.version() + 1:012d}"
+        path.write_bytes(torn)
+        now = s.version()
+        assert s.read().count() == k + 1
+        assert s.append(rows(now + 10)) == now + 2 and s.compact() >= now + 2
+    assert s.read().count() == 4
+    assert not list((tmp_path / "s" / "commits").glob("*.draft"))
+
+
+def test_commits_by_rename(spark, tmp_path):
+    """The way of file systems without hard links: a rename that doesn't overwrite."""
+    s = compaction.Store(spark, f"file:{tmp_path}/s")
+    s.linked = False
+    s.append(spark.createDataFrame([(1,)], "id long"))
+    assert s.version() == 1 and s.read().count() == 1 and not s._publish(1, "{}") and s.read().count() == 1
+
+
 # ---- op3 and op7 -----------------------------------------------------------------------------------
 
 
@@ -224,7 +310,7 @@ def test_urls(spark):
 
 def test_bloom_has_no_false_negatives(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BITS_PER_URL", 2)  # many false positives
-    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 0)  # and no broadcast
+    monkeypatch.setattr("corvane.llm.common.BROADCAST_BYTES", 0)  # and no broadcast
     urls = spark.range(3000).selectExpr("id AS page_id", "concat('http://h', id % 1500, '.org/p') AS url")
     got = url_filter.judge(urls, urls.where("page_id < 700").select("url"), ())
     assert got.count() == 3000 and {(r.id, r.listed) for r in got.collect()} == {(k, k % 1500 < 700) for k in range(3000)}
