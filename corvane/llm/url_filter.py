@@ -20,9 +20,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corvane.llm.common import Scratch, small
+
 #: bits of the filter for each listed URL, and of a block
 BITS_PER_URL, BLOCK_BITS, WORDS = 16, 512, 8
-BROADCAST_BYTES = 8 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -76,16 +77,15 @@ def bloom_filter(listed: DataFrame, count: int) -> tuple[DataFrame, int]:
     return _hashed(listed.select("canon"), blocks).groupBy("block").agg(*words), blocks
 
 
-def listed_hits(urls: DataFrame, listed: DataFrame) -> DataFrame:
+def listed_hits(urls: DataFrame, listed: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of `urls` (with a column canon) and whether their canon is in `listed`."""
-    listed = listed.where("canon IS NOT NULL").select("canon").distinct()
+    listed = scratch.put(listed.where("canon IS NOT NULL").select("canon").distinct(), "listed")
     bloom, blocks = bloom_filter(listed, listed.count())
-    if blocks * (WORDS + 1) * 8 <= BROADCAST_BYTES:
-        bloom = F.broadcast(bloom)
+    bloom = small(bloom, blocks, (WORDS + 1) * 8)
     own = urls.columns
-    probe = _hashed(urls, blocks).join(bloom, "block", "left")
     maybe = F.coalesce(F.expr(" AND ".join(f"(w{i} & {_bit(i)}) <> 0" for i in range(WORDS))), F.lit(False))
-    probe = probe.select(*own, (F.col("canon").isNotNull() & maybe).alias("maybe"))
+    probe = _hashed(urls.where("canon IS NOT NULL"), blocks).join(bloom, "block", "left").select(*own, maybe.alias("maybe"))
+    probe = scratch.put(probe.unionByName(urls.where("canon IS NULL").withColumn("maybe", F.lit(False))), "probe")
     exact = probe.where("maybe").join(listed.withColumn("hit", F.lit(True)), "canon", "left")
     return exact.select(*own, F.coalesce("hit", F.lit(False)).alias("listed")).unionByName(probe.where("NOT maybe").select(*own, F.lit(False).alias("listed")))
 
@@ -95,7 +95,7 @@ def judge(urls: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]],
     base = urls.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), canonical(F.col(url_col)).alias("canon"))
     base = base.select("id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "canon")
     base = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    found = listed_hits(base, listed.select(canonical(F.col("url")).alias("canon")))
+    found = listed_hits(base, listed.select(canonical(F.col("url")).alias("canon")), Scratch(urls.sparkSession, "urls"))
     said = F.when(F.col("listed"), "block").otherwise("allow")
     for rule, verdict in rules:
         said = F.when(F.col("rule") == rule, verdict).otherwise(said)
