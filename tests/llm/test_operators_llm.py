@@ -604,6 +604,48 @@ def test_leaks(spark, odd, none):
     assert decontaminate.leaks(none, items).isEmpty() and decontaminate.leaks(odd, items.limit(0)).isEmpty() and decontaminate.leaks(odd, items).isEmpty()
 
 
+def slow_leaks(docs, items):
+    """(document, item) -> share at the best window of all, by the longest common subsequence with every window."""
+    number = {w: k + 1 for k, w in enumerate(sorted({w for t in items for w in decontaminate.words(t)}))}
+    out = {}
+    for i, t in enumerate(items):
+        item, said = np.array([number[w] for w in decontaminate.words(t)]), decontaminate.answer_words(t)
+        size = len(item) + -(-len(item) // 5)
+        for d, text in enumerate(docs):
+            seq = [number.get(w, 0) for w in decontaminate.words(text)]
+            near = np.cumsum([0, *np.isin(seq, item)])
+            best, at = 0, 0
+            for x in range(max(1, len(seq) - size + 1)):
+                if near[min(x + size, len(seq))] - near[x] > best and (n := decontaminate.lcs_length(item.tolist(), seq[x : x + size])) > best:
+                    best, at = n, x
+            window, said_at = seq[at : at + size], [number[w] for w in said]
+            held = any(window[k : k + len(said_at)] == said_at for k in range(len(window) - len(said_at) + 1))
+            if best >= decontaminate.COPY * len(item) or held and best >= decontaminate.PARAPHRASE * len(item):
+                out[d, i] = best / len(item)
+    return out
+
+
+def test_recall_of_paraphrases(spark):
+    """Against exhaustive subsequences: documents with planted paraphrases that keep 60 to 90 percent of an item's words."""
+    rnd = random.Random(9)
+    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()] + ["qqa", "qqb qqc qqd"]
+    pool = [w for t in docs[:50] for w in t.split()]
+    for k in rnd.sample(range(len(docs)), 120):
+        keep, item = rnd.choice([0.6, 0.7, 0.8, 0.9]), rnd.choice(items)
+        made = [w if rnd.random() < keep else rnd.choice(pool) for w in item.split()]
+        words = docs[k].split()
+        at = rnd.randrange(len(words) + 1)
+        docs[k] = " ".join([*words[:at], *made, *words[at:]])
+    want = slow_leaks(docs, items)
+    bench = spark.createDataFrame([(str(k), t) for k, t in enumerate(items)] + [("again", items[0]), (None, items[0])], "name string, body string")
+    found = decontaminate.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench, item_col="name", item_text_col="body").collect()
+    got = {(r.id, int(r.item_id)): r.share for r in found if r.item_id not in (None, "again")}
+    assert set(got) <= set(want) and len(got) >= 0.95 * len(want) > 60
+    assert all(abs(share - want[pair]) < 1e-9 for pair, share in got.items())
+    assert {r.id for r in found if r.item_id == "again"} == {r.id for r in found if r.item_id is None} == {d for d, i in got if i == 0}
+
+
 def test_groups_of_items(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "GROUP", 15)
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
