@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 again as the next stage's docs. All but the last return the columns of `documents`.
 
 Edge cases: an empty table passes through every stage; rows with a null text are rejected by language
-identification; further columns are carried unchanged through all stages but the last. A row without a
-doc_id is not matched by the leaks of others and stays in decontamination.
+identification; further columns, of any name, are carried unchanged through all stages but the last; rows of one doc_id, or of none, are
+judged each by their text.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.llm import decontaminate, language_id, packing, secret_scan, simhash_wide
-from corvane.llm.common import Scratch, table
+from corvane.llm.common import Scratch, fresh, quoted, row_key, table
 from corvane.llm.queries import tokenizer_path
 
 #: a prediction's least score; that of clear prose is above 0.9
@@ -22,8 +22,9 @@ LEAST_SCORE = 0.4
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a letter, or whose language is not clear, go."""
-    told = language_id.identify(docs, language_id.train(docs), keep=tuple(docs.columns), names=("_told", "_sure"))
-    return told.where((F.col("_told") != "und") & (F.col("_sure") >= LEAST_SCORE)).select(*docs.columns)
+    told, sure = fresh(docs, "_told", "_sure")
+    rows = language_id.identify(docs, language_id.train(docs), keep=tuple(docs.columns), names=(told, sure))
+    return rows.where((F.col(told) != "und") & (F.col(sure) >= LEAST_SCORE)).select(*[quoted(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +33,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("_leak")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_leak"], "left_anti")
+    """Documents that hold a benchmark item go; rows are told by id and text, so that a clean one stays beside a leaking one of its id."""
+    (key,) = fresh(docs, "_key")
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    found = decontaminate.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("id").alias(key)).distinct()
+    return keyed.join(found, key, "left_anti").select(*[quoted(c) for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
