@@ -68,7 +68,7 @@ def quoted(name: str) -> Column:
 def row_key(id_col: str, text_col: str) -> Column:
     """A digest of a row's id and text, never null: rows that agree in both have one fate in every stage."""
     part = lambda c: F.coalesce(F.concat(F.lit("+"), quoted(c).cast("string")), F.lit("-"))
-    return F.sha2(F.concat(part(id_col), F.lit("\n"), part(text_col)), 256)
+    return F.unhex(F.sha2(F.concat(part(id_col), F.lit("\n"), part(text_col)), 256))
 
 
 class Scratch:

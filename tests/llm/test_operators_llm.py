@@ -385,43 +385,63 @@ def test_dense_groups_keep_all_links(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, ours.values()))
 
 
-def wide_roots(texts):
-    """Least index of each text's component by all pairs of the wide fingerprints."""
-    words = np.array([simhash_wide.wide_fingerprint((t or "").encode()) for t in texts], np.uint64).reshape(-1, 3)
-    root = list(range(len(texts)))
+def similar_pairs(texts):
+    """All pairs of a five-word similarity of 0.8 or more, by sets of words."""
+    sets, holders, out = [], {}, set()
+    for n, t in enumerate(texts):
+        w = (t or "").translate({c: c + 32 for c in range(65, 91)}).split()
+        own = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+        for m in sorted({m for x in own for m in holders.get(x, ())}):
+            if len(own & sets[m]) >= 0.8 * len(own | sets[m]) - 1e-9:
+                out.add((m, n))
+        sets.append(own)
+        for x in own:
+            holders.setdefault(x, []).append(n)
+    return out
+
+
+def roots_of(n, pairs):
+    """Least index of each element's component."""
+    root = list(range(n))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in range(len(texts)):
-        for j in np.flatnonzero(np.bitwise_count(words[:i] ^ words[i]).sum(1) <= simhash_wide.radius_of(0.8)):
-            a, b = find(i), find(int(j))
-            root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(texts))]
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def wide_roots(texts):
+    return roots_of(len(texts), similar_pairs(texts))
 
 
-@pytest.mark.parametrize("hot", [32, 3])
-def test_similar_groups(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "layout"), [(32, 0), (3, 0), (3, 1), (32, 2)])
+def test_similar_groups(spark, monkeypatch, hot, layout):
     monkeypatch.setattr(simhash_wide, "HOT", hot)
+    monkeypatch.setattr(simhash_wide, "LAYOUTS", simhash_wide.LAYOUTS[layout:])
     rnd = random.Random(4)
     vocabulary = [f"w{k}" for k in range(3000)]
     texts = []
-    for _ in range(12):
+    for n in range(12):
         base = [rnd.choice(vocabulary) for _ in range(rnd.randint(80, 300))]
-        for _ in range(15):
+        for _ in range(40 if n < 2 else 12):  # two large groups, whose members are often not similar to one centre
             copy = list(base)
-            for _ in range(rnd.randint(0, 4)):
+            for _ in range(rnd.randint(0, len(base) // 30)):
                 copy[rnd.randrange(len(copy))] = rnd.choice(vocabulary)
             texts.append(" ".join(copy))
-    texts += [" ".join(rnd.choice(vocabulary) for _ in range(100)) for _ in range(40)]
+    texts += [" ".join(rnd.choice(vocabulary) for _ in range(100)) for _ in range(40)] + ["One two", "one  TWO", "", None]
     got = {r.id: r.root for r in simhash_wide.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    ours, theirs = {}, {}
-    for k, r in enumerate(wide_roots(texts)):
-        ours.setdefault(got[k], []).append(k)
-        theirs.setdefault(r, []).append(k)
-    assert sorted(ours.values()) == sorted(theirs.values()) and len(ours) < 110
+    pairs = similar_pairs(texts)
+    found = [p for p in pairs if got[p[0]] == got[p[1]]]
+    assert len(found) >= 0.97 * len(pairs) > 300
+    theirs = roots_of(len(texts), pairs)
+    for k in range(len(texts)):  # nothing else is linked
+        assert theirs[k] == theirs[min(j for j in got if got[j] == got[k])]
+    assert got[len(texts) - 1] == got[len(texts) - 2] and got[len(texts) - 3] == got[len(texts) - 4]
 
 
 def test_keep_one(spark, odd, none):
@@ -430,6 +450,11 @@ def test_keep_one(spark, odd, none):
     ids = sorted(str(r.doc_id) for r in kept.collect())
     assert ids.count("1") == 1 and "2" not in ids and "None" not in ids and len(ids) == len(set(ids))
     assert simhash_wide.keep_one(none).isEmpty()
+    names = ["_key", "node", "_node", "root", "key", "kept", "w0"]
+    long = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, long), (1, long), (1, "another text altogether that is not alike"), (None, long + " x"), (None, "only here"), (2, long.upper())]
+    clash = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    assert sorted((str(r[0]), r[1]) for r in simhash_wide.keep_one(clash).collect()) == sorted([("1", long), ("1", rows[2][1]), ("None", "only here")])
 
 
 # ---- op6 -------------------------------------------------------------------------------------------
