@@ -6,8 +6,8 @@ first, by one-versus-one linear SVMs between families; one-versus-one SVMs betwe
 family, trained on them alone, separate those. A vote decides, and the sum of margins between equal
 votes. All machines are linear in the bucket frequencies, so a text costs one product of a small matrix.
 
-Training takes about `SAMPLE` labelled rows of each language (a bound, by a hash of the id), whose
-bucket counts go to the driver; everything else reads all rows. `FAMILIES` groups languages; one
+Training takes up to `SAMPLE` labelled rows of each language (the first ones by a hash of id and text, whatever
+else the table holds), whose bucket counts go to the driver; everything else reads all rows. `FAMILIES` groups languages; one
 that is not listed is a family of its own.
 
 Edge cases: `und` with score zero if the text is null or has no letter, or if nothing was learned; with
@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from corvane.llm.common import bounded_batches
 
@@ -120,14 +120,16 @@ def held_out(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model of the labelled rows outside the held-out fold; about `sample` rows of each language."""
+    """A model of the labelled rows outside the held-out fold; `sample` rows of each language at most."""
     bounded_batches(docs.sparkSession)
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
         return Model(np.zeros((0, BUCKETS), np.float32), [])
-    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample / n))])
-    picked = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).limit(2 * sample * len(sizes))
+    # the hash picks about twice the sample, so that the ranks, kept to `sample` in each task before any exchange, have few rows to sort
+    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, 2 * sample / n))])
+    near = labelled.withColumn("h", F.xxhash64("id", "text")).where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    picked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("rank") <= sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

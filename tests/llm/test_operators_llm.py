@@ -518,6 +518,61 @@ def test_language(spark, odd, none):
     assert language_id.family_of("xx") == "xx"
 
 
+def slow_language(model, text):
+    """The decision tree by counting trigrams one by one, and every machine on its own."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    raw = (" " + text.lower() + " ").encode("utf-8", "replace")
+    raw = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in raw)
+    grams = [(raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]) * 2654435761 % 2**32 >> 20 for k in range(len(raw) - 2)]
+
+    def told(level, names):
+        votes, sums, least = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0), dict.fromkeys(names, 1.0)
+        for (of, a, b), w, bias in zip(model.pairs, model.weights, model.bias, strict=True):
+            if of == level:
+                margin = sum(w[g] for g in grams) / max(1, len(grams)) + bias
+                votes[a if margin >= 0 else b] += 1
+                for n, m in ((a, margin), (b, -margin)):
+                    sums[n] += m
+                    least[n] = min(least[n], 1 / (1 + np.exp(-np.clip(language_id.STEEP * m, -30, 30))))
+        order = sorted(names, key=lambda n: (-votes[n], -sums[n]))
+        return order[0], least[order[0]]
+
+    family, sure = told("", model.families)
+    language, also = told(family, [n for n in model.languages if language_id.family_of(n) == family])
+    return language, sure * also
+
+
+def test_language_against_single_machines(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(docs)
+    assert len(model.pairs) == sum(n * (n - 1) // 2 for n in [len(model.families), *([language_id.family_of(x) for x in model.languages].count(f) for f in model.families)])
+    for rows in (docs.limit(60), odd.where("doc_id <> 6 OR doc_id IS NULL")):
+        for r in language_id.identify(rows, model, keep=("text",)).collect():
+            want = slow_language(model, r.text)
+            assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-6
+
+
+def test_machines_separate():
+    """A machine's hinge loss is near that of the best of many directions, and zero errors where a gap is wide."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(200, 5)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] > 0, 1.0, -1.0)
+    x[:, 0] += y
+    w, bias = language_id.train_svm(x, y)
+    assert (np.sign(x @ w + bias) == y).all()
+
+
+def test_sample_is_bounded_by_language(spark, monkeypatch):
+    """Repeated rows share a hash; they neither exceed the sample nor push other languages out."""
+    rows = [(1, "the same words here", "en")] * 300 + [(k, f"andere wörter {k} dort", "de") for k in range(2, 9)]
+    seen = []
+    init = language_id.Model.__init__
+    monkeypatch.setattr(language_id.Model, "__init__", lambda self, x, languages: (seen.extend(languages), init(self, x, languages))[1])
+    language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=20)
+    assert seen.count("en") in (0, 20) and seen.count("de") == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(2, 9))
+
+
 # ---- op9 -------------------------------------------------------------------------------------------
 
 
