@@ -75,10 +75,11 @@ def lcs_length(a: list[int], b: list[int]) -> int:
 class Passages:
     """Normalised TF-IDF rows of the passages of some texts, as compressed sparse rows.
 
-    `text` and `start` tell each passage's text and first word.
+    `text` and `start` tell each passage's text and first word. Passages of a single weighted word, which are that
+    word's unit vector, are kept apart: `ones` has their (text, start, word).
     """
 
-    def __init__(self, texts: list[np.ndarray], weights: np.ndarray, least: int = 1, whole: bool = False):
+    def __init__(self, texts: list[np.ndarray], weights: np.ndarray, whole: bool = False):
         sizes = np.array([len(t) for t in texts], np.int64)
         blocks = np.ones_like(sizes) if whole else np.maximum(1, -(-sizes // STRIDE))
         base = np.cumsum(blocks) - blocks
@@ -96,13 +97,17 @@ class Passages:
         rows, terms = keys // len(weights), keys % len(weights)
         values = (1 + np.log(tf)) * weights[terms]
         names, first, size = np.unique(rows, return_index=True, return_counts=True)
-        kept = size >= least
+        kept = size >= (1 if whole else 2)
         values /= np.repeat(np.sqrt(np.add.reduceat(values * values, first)) if len(first) else values[:0], size)
         keep = np.repeat(kept, size)
         self.terms, self.values, self.sizes = terms[keep], values[keep].astype(np.float32), size[kept]
-        names = names[kept]
-        self.text = np.searchsorted(base, names, side="right") - 1
-        self.start = (names - base[self.text]) * STRIDE if len(names) else names
+        text = np.searchsorted(base, names, side="right") - 1
+        start = (names - base[text]) * STRIDE if len(names) else names
+        self.text, self.start = text[kept], start[kept]
+        self.ones = text[~kept], start[~kept], terms[first[~kept]]
+
+    def __len__(self) -> int:
+        return len(self.text) + len(self.ones[0])
 
     def chunks(self) -> Iterator[tuple[int, int, int, int]]:
         ends = np.cumsum(self.sizes)
@@ -122,6 +127,8 @@ class Passages:
             order = np.argsort(self.terms[x:y], kind="stable")
             names, first = np.unique(self.terms[x:y][order], return_index=True)
             out[names] += np.add.reduceat(made[order], first, axis=0)
+        alone, n = np.unique(self.ones[2], return_counts=True)
+        out[alone] += n[:, None] * basis[alone]
         return out
 
 
@@ -184,7 +191,7 @@ def _gram(sequences: DataFrame, local: np.ndarray, weights: np.ndarray, basis: n
         for b in batches:
             rows = Passages(_arrays(b.column(0), local), weights)
             total += rows.gram(basis)
-            n += len(rows.sizes)
+            n += len(rows)
         used = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int64()), pa.array([[float(n)] * wide, *total[used].tolist()], pa.list_(pa.float64()))], ["word", "row"])
 
@@ -207,7 +214,7 @@ def latent_space(sequences: DataFrame, local: np.ndarray, items: list[np.ndarray
     rank = min(rank, len(weights))
     basis = np.linalg.qr(np.random.default_rng(SEED).standard_normal((len(weights), rank)))[0].astype(np.float32)
     product, n = _gram(sequences, local, weights, basis)
-    product = product * ((1 - ITEM_SHARE) / max(n, 1)) + own.gram(basis) * (ITEM_SHARE / max(len(own.sizes), 1))
+    product = product * ((1 - ITEM_SHARE) / max(n, 1)) + own.gram(basis) * (ITEM_SHARE / max(len(own), 1))
     shift = np.sqrt(len(weights)) * 1e-6 * max(np.linalg.norm(product), 1e-12)
     product += shift * basis
     inner = basis.T.astype(np.float64) @ product
@@ -215,72 +222,105 @@ def latent_space(sequences: DataFrame, local: np.ndarray, items: list[np.ndarray
     return np.linalg.svd(np.linalg.solve(low, product.T).T, full_matrices=False)[0].astype(np.float32)
 
 
-def best_window(text: np.ndarray, low: int, high: int, item: np.ndarray, answer: list[int]) -> tuple[float, int, bool]:
-    """Best share of the item's words in order within a window of a fifth more words of text[low:high], the first such one's first word, and whether the answer stands there."""
+def _find(text: np.ndarray, part: np.ndarray) -> int:
+    """The first place at which the word numbers of `part` stand in `text`, or -1."""
+    raw, wanted = text.tobytes(), part.tobytes()
+    at = raw.find(wanted)
+    while at >= 0 and at % 4:
+        at = raw.find(wanted, at + 1)
+    return at // 4
+
+
+def best_window(text: np.ndarray, low: int, high: int, item: np.ndarray, has: np.ndarray, answer: np.ndarray) -> tuple[float, int, bool]:
+    """Best share of the item's words in order within a window of a fifth more words of text[low:high], the first such one's first word, and whether the answer stands there.
+
+    `has` tells of each word number whether it is the item's. The share is 0 where no window can hold a leak.
+    """
     size, words = len(item) + -(-len(item) // 5), item.tolist()
     part = text[low:high]
-    before = np.concatenate(([0], np.cumsum(np.isin(part, item))))
+    before = np.concatenate(([0], np.cumsum(has[part])))
     held = before[size:] - before[: len(before) - size] if len(part) > size else before[-1:]  # an upper bound for each window
+    most = held.max(initial=0)
+    if most < PARAPHRASE * len(item) or most < COPY * len(item) and (not len(answer) or _find(part, answer) < 0):
+        return 0.0, low, False
     best, at = 0, 0
-    if held.max(initial=0) >= PARAPHRASE * len(item):
-        for x in range(len(held)):
-            if held[x] > best and (n := lcs_length(words, part[x : x + size].tolist())) > best:
+    for x in np.argsort(-held, kind="stable").tolist():
+        if held[x] < max(best, 1):
+            break
+        if held[x] > best or x < at:
+            n = lcs_length(words, part[x : x + size].tolist())
+            if n > best or n == best and x < at:
                 best, at = n, x
-    near = part[at : at + size].tolist()
-    there = bool(answer) and any(near[k : k + len(answer)] == answer for k in range(len(near) - len(answer) + 1))
-    return best / len(item), low + at, there
-
-
-def _confirm(text: np.ndarray, start: int, item: np.ndarray, answer: list[int]) -> tuple[float, int, bool]:
-    size = len(item) + -(-len(item) // 5)
-    return best_window(text, max(0, start - size + 1), min(len(text), start + WINDOW + size - 1), item, answer)
-
-
-def _whole_copy(text: bytes, item: bytes) -> int:
-    """The first word at which the item's word numbers stand in the text's, or -1."""
-    at = text.find(item)
-    while at >= 0 and at % 4:
-        at = text.find(item, at + 1)
-    return at // 4
+    near = part[at : at + size]
+    return best / len(item), low + at, bool(len(answer)) and _find(near, answer) >= 0
+
+
+def _spans(starts: list[tuple[int, float]], size: int, end: int) -> Iterator[tuple[int, int, float]]:
+    """The words from which on windows overlap passages that begin at `starts`, as few runs (low, high, best cosine)."""
+    low, high, best = -1, -1, 0.0
+    for start, cosine in sorted(starts):
+        a, b = max(0, start - size + 1), min(end, start + WINDOW + size - 1)
+        if a > high - size + 1:  # no window of both
+            if high >= 0:
+                yield low, high, best
+            low, high, best = a, b, cosine
+        else:
+            high, best = max(high, b), max(best, cosine)
+    if high >= 0:
+        yield low, high, best
 
 
 FOUND = "num bigint, share double, cosine double, first_word bigint, answer boolean"
 
 
-def _leaks(sequences: DataFrame, local: np.ndarray, names: list[int], items: list[np.ndarray], answers: list[list[int]], df: np.ndarray, weights: np.ndarray, space: np.ndarray) -> DataFrame:
+def _leaks(sequences: DataFrame, local: np.ndarray, names: list[int], items: list[np.ndarray], answers: list[np.ndarray], df: np.ndarray, weights: np.ndarray, space: np.ndarray) -> DataFrame:
     own = Passages(items, weights, whole=True)
     there = np.zeros((len(items), space.shape[1]), np.float32)
     for a, b, x, y in own.chunks():
         there[own.text[a:b]] = own.times(space, a, b, x, y)
     there /= np.maximum(np.linalg.norm(there, axis=1, keepdims=True), 1e-9)
-    shared = sequences.sparkSession.sparkContext.broadcast((local, weights, space, there, names, items, answers, df))
+    # the items that a passage of one weighted word is a candidate for, with their cosines
+    told = (space @ there.T) / np.maximum(np.linalg.norm(space, axis=1, keepdims=True), 1e-9)
+    of_word: dict[int, list[tuple[int, float]]] = {}
+    for w, i in np.argwhere((told >= COSINE) & (weights > 0)[:, None]).tolist():
+        of_word.setdefault(w, []).append((i, float(told[w, i])))
+    shared = sequences.sparkSession.sparkContext.broadcast((local, weights, space, there, of_word, names, items, answers, df))
     kind = sequences.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local, weights, space, there, names, items, answers, df = shared.value
-        raw = [x.tobytes() for x in items]
+        local, weights, space, there, of_word, names, items, answers, df = shared.value
+        has = np.zeros((len(items), len(weights)), bool)
+        for i, x in enumerate(items):
+            has[i, x] = True
         rarest = np.array([x[np.argmin(df[x])] for x in items])
         present = np.zeros(len(weights), bool)
         for b in batches:
             texts = _arrays(b.column(1), local)
             rows = Passages(texts, weights)
             found: dict[tuple[int, int], tuple] = {}
+            near: dict[tuple[int, int], list[tuple[int, float]]] = {}
             for a, e, x, y in rows.chunks():
                 z = rows.times(space, a, e, x, y)
                 cosines = (z @ there.T) / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-                for p, i in np.argwhere(cosines >= COSINE):
-                    t = int(rows.text[a + p])
-                    share, at, said = _confirm(texts[t], int(rows.start[a + p]), items[i], answers[i])
+                for p, i in np.argwhere(cosines >= COSINE).tolist():
+                    near.setdefault((int(rows.text[a + p]), i), []).append((int(rows.start[a + p]), float(cosines[p, i])))
+            for t, start, w in zip(*(x.tolist() for x in rows.ones), strict=True):
+                for i, cosine in of_word.get(w, ()):
+                    near.setdefault((t, i), []).append((start, cosine))
+            for (t, i), starts in near.items():
+                size = len(items[i]) + -(-len(items[i]) // 5)
+                for low, high, cosine in _spans(starts, size, len(texts[t])):
+                    share, at, said = best_window(texts[t], low, high, items[i], has[i], answers[i])
                     if share >= COPY or share >= PARAPHRASE and said:
-                        new = (share, float(cosines[p, i]), at, said)
-                        found[t, int(i)] = max(found.get((t, int(i)), new), new)
+                        new = (share, cosine, at, said)
+                        found[t, i] = max(found.get((t, i), new), new)
             for t, text in enumerate(texts):
                 present[:] = False
                 present[text] = True
                 for i in np.flatnonzero(present[rarest]).tolist():
                     old = found.get((t, i), (0.0, None))
-                    if old[0] < 1 and present[items[i]].all() and (at := _whole_copy(text.tobytes(), raw[i])) >= 0:
-                        found[t, i] = (1.0, old[1], at, best_window(items[i], 0, len(items[i]), items[i], answers[i])[2])
+                    if old[0] < 1 and present[items[i]].all() and (at := _find(text, items[i])) >= 0:
+                        found[t, i] = (1.0, old[1], at, best_window(items[i], 0, len(items[i]), items[i], has[i], answers[i])[2])
             at = pa.array([t for t, _ in found], pa.int64())
             cols = list(zip(*[(names[i], *v) for (_, i), v in found.items()], strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())
@@ -321,7 +361,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         local = np.zeros(len(vocabulary) + 1, "<u4")
         local[used] = np.arange(1, len(used) + 1)
         numbers = [local[x] for x in numbers]
-        answers = [[int(local[vocabulary[w]]) for w in answer_words(r["text"]) if w in vocabulary] for r in held]
+        answers = [local[[vocabulary[w] for w in answer_words(r["text"]) if w in vocabulary]] for r in held]
         df = np.concatenate(([0], every[used]))
         weights = word_weights(df, total, numbers)
         space = latent_space(sequences, local, numbers, weights)
