@@ -16,8 +16,8 @@ The join gives each pair once, at its first segment.
 Hot buckets have pivots, in two rounds: the member whose own buckets are largest, which is the one that most others
 come from. Members within the radius are a star around their pivot. Stars are verified: a member that is
 similar to its pivot stands behind it, others stand for themselves. Within a star pairs of two members that are similar to the
-pivot need no look; of the others those alone meet that can be similar, as Jaccard distances obey the triangle
-inequality. Between stars the nearest pair is verified first, and all other pairs where that one fails. So a large
+pivot need no look; of the others those alone meet that can be similar: two sets share no more than each shares with the
+pivot, but for shingles that the pivot lacks, of which each member has a bitmap. Between stars the nearest pair is verified first, and all other pairs where that one fails. So a large
 group gives no square of verified links, and no link that could connect two groups is left out.
 
 The shingles of those texts that have a candidate are made once, in one pass over the texts.
@@ -43,6 +43,9 @@ from corvane.llm.simhash_dedup import SEED, shingle_bounds
 WIDTH, SIMILARITY, HOT, ROUNDS, DEVIATIONS = 5, 0.8, 32, 2, 1.65
 #: shingles whose bits are counted at once: their counts fit 16 bits
 STEP = 1 << 14
+#: words of the bitmap of a star member's shingles that its pivot lacks
+REST = 8
+RESTS = [f"r{k}" for k in range(REST)]
 
 
 class Layout(NamedTuple):
@@ -163,10 +166,10 @@ def candidate_stars(nodes: DataFrame, count: int, layout: Layout, scratch: Scrat
     stars = None
     for r in range(ROUNDS):
         left = held if stars is None else held.join(stars.select("node"), "node", "left_anti")
-        pivots = left.join(weights, "node").groupBy("seg", "key").agg(F.max_by(F.struct("node", *words), F.struct("weight", "node")).alias("p"))
-        pivots = pivots.select("seg", "key", F.col("p.node").alias("pivot"), *[F.col(f"p.{w}").alias(w) for w in words])
-        near = left.alias("e").join(pivots.alias("p"), ["seg", "key"]).select("e.node", "p.pivot", _distance(layout, "e", "p").alias("far")).where(F.col("far") <= radius)
-        found = scratch.put(near.groupBy("node").agg(F.min_by("pivot", F.struct("far", "pivot")).alias("pivot")), f"stars{r}")
+        pivots = left.join(weights, "node").groupBy("seg", "key").agg(F.max_by(F.struct("node", "weight", *words), F.struct("weight", "node")).alias("p"))
+        pivots = pivots.select("seg", "key", F.col("p.node").alias("pivot"), F.col("p.weight").alias("weight"), *[F.col(f"p.{w}").alias(w) for w in words])
+        near = left.alias("e").join(pivots.alias("p"), ["seg", "key"]).where(_distance(layout, "e", "p") <= radius)
+        found = scratch.put(near.groupBy("e.node").agg(F.max_by("p.pivot", F.struct("p.weight", "p.pivot")).alias("pivot")), f"stars{r}")
         stars = found if stars is None else stars.union(found)
     scratch.drop("hot", "sizes", "weights")
     return stars
@@ -191,17 +194,49 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, count: int, width: int, id_
     return rows.select("node", "text").mapInArrow(run, "node bigint, hashes binary").dropDuplicates(["node"])
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    one = lambda end, name: sets.select(F.col("node").alias(end), F.col("hashes").alias(name))
+    return pairs.select("a", "b").join(one("b", "hb"), "b").join(one("a", "ha"), "a").select("a", "b", "ha", "hb")
+
+
+def _both(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    return ((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3), strict=True))
+
+
 def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, similarity) of pairs (a, b) of nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in b.column(c)] for c in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([similarity_of(p, q) for p, q in zip(x, y, strict=True)], pa.float64())], ["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([similarity_of(x, y) for x, y in _both(b)], pa.float64())], ["a", "b", "similarity"])
 
-    one = lambda end, name: sets.select(F.col("node").alias(end), F.col("hashes").alias(name))
-    rows = pairs.select("a", "b").join(one("b", "hb"), "b").join(one("a", "ha"), "a").select("a", "b", "ha", "hb")
-    return rows.mapInArrow(run, "a bigint, b bigint, similarity double")
+    return _with_sets(pairs, sets).mapInArrow(run, "a bigint, b bigint, similarity double")
+
+
+def spokes_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, similarity, size, common, r0, ...) of members and pivots: a's shingles, those that b has, and a bitmap of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, maps = [], np.zeros((b.num_rows, 64 * REST), bool)
+            for k, (x, y) in enumerate(_both(b)):
+                own = np.isin(x, y, assume_unique=True)
+                maps[k, (x[~own] % np.uint64(64 * REST)).astype(np.int64)] = True
+                rows.append((similarity_of(x, y), len(x), int(own.sum())))
+            bits = np.packbits(maps, axis=1, bitorder="little").view(np.int64)
+            cols = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *(pa.array(bits[:, k]) for k in range(REST))], ["a", "b", "similarity", "size", "common", *RESTS]
+            )
+
+    return _with_sets(pairs, sets).mapInArrow(run, f"a bigint, b bigint, similarity double, size bigint, common bigint, {', '.join(f'{r} bigint' for r in RESTS)}")
+
+
+def _possible(similarity: float) -> str:
+    """Whether q and t of one star can be that similar: they share what the pivot has too, and of the rest nothing unless their bitmaps meet."""
+    need, shared = f"{similarity / (1 + similarity)} * (q.size + t.size)", "least(q.common, t.common)"
+    meet = " OR ".join(f"(q.{r} & t.{r}) <> 0" for r in RESTS)
+    return f"({shared} >= {need} OR {shared} + least(q.size - q.common, t.size - t.common) >= {need} AND ({meet}))"
 
 
 def wide_links(nodes: DataFrame, docs: DataFrame, scratch: Scratch, similarity: float, layout: Layout, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -215,11 +250,11 @@ def wide_links(nodes: DataFrame, docs: DataFrame, scratch: Scratch, similarity:
     ends = across.select("a", "b").union(spokes).select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = scratch.put(nodes.join(ends, "node", "left_semi").select("key", "node"), "wanted")
     sets = scratch.put(shingle_sets(docs, wanted, wanted.count(), width, id_col, text_col), "sets")
-    spokes = scratch.put(similarities(spokes, sets), "spokes")
+    spokes = scratch.put(spokes_of(spokes, sets), "spokes")
     behind = spokes.where(F.col("similarity") >= enough).select(F.col("a").alias("node"), F.col("b").alias("front"))
-    # within a star: pairs with a member that is not similar to the pivot, as far as the triangle inequality lets them be similar
-    inside = tagged.join(spokes.select(F.col("a").alias("node"), "similarity"), "node")
-    tell = f"q.pivot = t.pivot AND least(q.similarity, t.similarity) < {enough} AND abs(q.similarity - t.similarity) <= {1 - enough}"
+    # within a star: pairs with a member that is not similar to the pivot, as far as the two can be similar
+    inside = tagged.join(spokes.select(F.col("a").alias("node"), "similarity", "size", "common", *RESTS), "node")
+    tell = f"q.pivot = t.pivot AND least(q.similarity, t.similarity) < {enough} AND {_possible(enough)}"
     pairs = across.union(candidate_pairs(inside, layout, radius, tell))
     front = lambda end: behind.select(F.col("node").alias(end), F.col("front").alias(f"{end}_front"))
     pairs = pairs.join(front("a"), "a", "left").join(front("b"), "b", "left").select("a", "b", "far", F.coalesce("a_front", "a").alias("fa"), F.coalesce("b_front", "b").alias("fb")).where("fa <> fb")
