@@ -44,10 +44,10 @@ def search(pages: DataFrame, sources: DataFrame, query: str, limit: int = 5) ->
 
 
 def route(pages: DataFrame, synthesis: str, source_pages: tuple[str, ...] = ()) -> DataFrame:
-    """(id, score) of pages but indexes: 50 if listed, 10 a long word in the title, 2 a long word in the body's first 1000 bytes."""
+    """(id, score) of pages but indexes: 50 if listed, 10 a long word in the title, 2 a long word in the body's first 1000 characters."""
     words = [w for w in synthesis.lower().split() if len(w.encode()) >= 4]
     body = F.when(F.startswith("content", F.lit("#")) & F.contains("content", F.lit("\n")), F.expr("substring(content, instr(content, '\n') + 1)")).otherwise(F.col("content"))
-    head = F.lower(F.regexp_replace(F.decode(F.substring(F.encode(body, "UTF-8"), 1, 1000), "UTF-8"), "�+\\z", "")) if False else F.lower(F.left(body, F.lit(1000)))
+    head = F.lower(F.left(body, F.lit(1000)))
     score = F.when(F.col("id").isin(*source_pages), 50).otherwise(0) if source_pages else F.lit(0)
     for w in words:
         score = score + F.when(F.contains(F.lower("title"), F.lit(w)), 10).otherwise(0) + F.when(F.contains(head, F.lit(w)), 2).otherwise(0)

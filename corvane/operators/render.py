@@ -31,11 +31,15 @@ def dot_lines(edges: DataFrame) -> DataFrame:
     return head.union(nodes).union(arrows)
 
 
+#: What breaks a label, and the form that Mermaid takes in its place.
+MERMAID_ESCAPES = {"\\": "\\\\", '"': "#quot;", "[": "#91;", "]": "#93;", "|": "#124;", "(": "#40;", ")": "#41;", "{": "#123;", "}": "#125;"}
+
+
 def mermaid_lines(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(k, s, text) of a Mermaid graph; nodes are (id, node)."""
     spark = edges.sparkSession
     escaped = F.col("id")
-    for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("[", "&#91;"), ("]", "&#93;"), ("{", "&#123;"), ("}", "&#125;"), ("|", "&#124;")):
+    for c, name in MERMAID_ESCAPES.items():
         escaped = F.replace(escaped, F.lit(c), F.lit(name))
     head = spark.createDataFrame([(0, "", "graph LR")], "k int, s string, text string")
     a = nodes.select(F.lit(1), "id", F.concat(F.lit("  "), "node", F.lit('["'), escaped, F.lit('"]')))

@@ -4,23 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Names that decide alone (null: no language), extensions, and aliases beside the lower-cased names.
+#: Names that decide alone (null: no language), and the extensions of each language.
 FILENAMES = {
-    "Dockerfile": None, "Makefile": None, "Justfile": None, "Cargo.toml": "TOML", "package.json": "JSON", "Gemfile": "Ruby", "Rakefile": "Ruby", "CMakeLists.txt": "CMake",
-    "build.gradle": "Gradle", "settings.gradle": "Gradle", ".bashrc": "Shell", ".zshrc": "Shell", ".bash_profile": "Shell", ".profile": "Shell",
-}
-EXTENSIONS = {
-    "rs": "Rust", "py": "Python", "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "go": "Go", "java": "Java", "c": "C", "h": "C", "cpp": "C++", "cc": "C++", "hpp": "C++",
-    "sh": "Shell", "bash": "Shell", "zsh": "Shell", "toml": "TOML", "yaml": "YAML", "yml": "YAML", "json": "JSON", "sql": "SQL", "md": "Markdown", "markdown": "Markdown", "proto": "Protobuf",
-    "graphql": "GraphQL", "gql": "GraphQL", "rb": "Ruby", "kt": "Kotlin", "kts": "Kotlin", "swift": "Swift", "cs": "C#", "m": "Objective-C", "mm": "Objective-C", "xml": "XML", "html": "HTML", "htm": "HTML",
-    "css": "CSS", "scss": "CSS", "gradle": "Gradle", "cmake": "CMake", "properties": "Properties",
-}
+    "Dockerfile": None, "Makefile": None, "Justfile": None, "Cargo.toml": "TOML", "pyproject.toml": "TOML", "Pipfile": "TOML", "package.json": "JSON", "tsconfig.json": "JSON", "composer.json": "JSON",
+    "docker-compose.yml": "YAML", "docker-compose.yaml": "YAML", ".bashrc": "Shell", ".zshrc": "Shell", ".bash_profile": "Shell", ".profile": "Shell", "Gemfile": "Ruby", "Rakefile": "Ruby", "CMakeLists.txt": "CMake",
+    "build.gradle": "Gradle", "settings.gradle": "Gradle", "build.gradle.kts": "Gradle", "settings.gradle.kts": "Gradle",
+}
+EXTENSIONS_OF = {
+    "Rust": "rs", "Python": "py pyi", "TypeScript": "ts tsx mts cts", "JavaScript": "js jsx mjs cjs flow", "Go": "go", "Java": "java", "C": "c h", "C++": "cpp cc cxx hpp hh hxx", "Shell": "sh bash zsh", "TOML": "toml",
+    "YAML": "yml yaml", "JSON": "json jsonc", "SQL": "sql", "Markdown": "md markdown", "Protobuf": "proto", "GraphQL": "graphql gql", "Ruby": "rb rake gemspec podspec", "Kotlin": "kt kts", "Swift": "swift", "C#": "cs",
+    "Objective-C": "m mm", "XML": "xml plist svg xib storyboard", "HTML": "html htm", "CSS": "css", "Gradle": "gradle", "CMake": "cmake", "Properties": "properties",
+}
+EXTENSIONS = {ext: language for language, exts in EXTENSIONS_OF.items() for ext in exts.split()}
 
 
 def detect(path: Column) -> Column:
-    """Language of a path, or null; extensions are compared as they are."""
+    """Language of a path, or null; extensions are compared as they are, and a leading dot begins none."""
     name = F.element_at(F.split(path, "/"), -1)
-    ext = F.regexp_extract(name, "[.]([^.]+)\\z", 1)
+    ext = F.regexp_extract(name, "(?s)^.+[.]([^.]+)\\z", 1)
     names, exts = (F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, v)]) for d in ({k: v for k, v in FILENAMES.items() if v}, EXTENSIONS))
     none = [k for k, v in FILENAMES.items() if v is None]
     return F.when(name.isin(*none), F.lit(None).cast("string")).otherwise(F.coalesce(F.element_at(names, name), F.element_at(exts, ext)))

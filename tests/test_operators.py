@@ -154,3 +154,18 @@ def test_compound_takes_a_free_id(spark):
     pages = spark.createDataFrame([(k, i, "", "", "index") for k, i in enumerate(ids)], columns)
     assert knowledge.compound(pages, "zzz", title="some words") == ("create", "topic-some-words-1300")
     assert knowledge.compound(pages.where("id <> 'topic-some-words'"), "zzz", title="some words") == ("create", "topic-some-words")
+
+
+def test_languages_and_mermaid_labels(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.operators import render
+    from corvane.sources.languages import detect
+
+    want = {"a/x.pyi": "Python", "m.cjs": "JavaScript", "k.hxx": "C++", "s.podspec": "Ruby", "i.svg": "XML", "build.gradle.kts": "Gradle", "b.kts": "Kotlin", "Pipfile": "TOML", "d/Makefile": None, ".rs": None, "x.scss": None, "t.jsonc": "JSON", ".profile": "Shell"}
+    got = spark.createDataFrame([(k,) for k in want], "path string").select("path", detect(F.col("path")).alias("language")).collect()
+    assert {r.path: r.language for r in got} == want
+    nodes = spark.createDataFrame([('a\\b("x")', "n0"), ("c[1]{2}|&", "n1")], "id string, node string")
+    edges = spark.createDataFrame([('a\\b("x")', "c[1]{2}|&")], "src string, dst string")
+    lines = {r.text for r in render.mermaid_lines(edges, nodes).collect()}
+    assert lines == {"graph LR", '  n0["a\\\\b#40;#quot;x#quot;#41;"]', '  n1["c#91;1#93;#123;2#125;#124;&"]', "  n0 --> n1"}
