@@ -73,7 +73,10 @@ def reach_all(spark: SparkSession, edges: DataFrame, seeds: DataFrame) -> DataFr
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp())
     seen = front = seeds.select("id").distinct().checkpoint()
     while not front.isEmpty():
         step = edges.join(front, edges["src"] == front["id"]).select(F.col("dst").alias("id")).distinct()

@@ -209,7 +209,13 @@ def _parameters(code: str, at: int) -> int:
     return parts + seen
 
 
-def _complexity(code: str) -> tuple[int, int]:
+#: branches that some languages have besides: arms of a match, and conditional expressions (no `?.`, `??`, `x?: T` or `<? extends T>`)
+ARMS = re.compile(r"=>")
+TERNARY = re.compile(r"(?<!\?)\?(?![?.:,)\];=>])(?!\s*(?:extends|super)\b)")
+BRANCHES_OF = {"Rust": ARMS} | dict.fromkeys(("TypeScript", "JavaScript", "Java", "C", "C++"), TERNARY)
+
+
+def _complexity(code: str, language: str = "") -> tuple[int, int]:
     """Branches plus one, and the depth of nested control blocks; `else if` adds no depth."""
     depth, deepest, stack, pending = 0, 0, [], False
     for m in re.finditer(r"\belse\s+if\b|" + NEST.pattern + r"|[{};]", code):
@@ -224,7 +230,8 @@ def _complexity(code: str) -> tuple[int, int]:
             pending = False
         else:
             pending = True
-    return 1 + len(re.findall(r"\b(?:if|for|while|case|catch|loop)\b|&&|\|\||\?\?", code)), deepest
+    more = len(BRANCHES_OF[language].findall(code)) if language in BRANCHES_OF else 0
+    return 1 + more + len(re.findall(r"\b(?:if|for|while|case|catch|loop)\b|&&|\|\||\?\?", code)), deepest
 
 
 def braces(language: str, text: str) -> tuple[list[str], list[Decl]]:
@@ -290,7 +297,7 @@ def braces(language: str, text: str) -> tuple[list[str], list[Decl]]:
                 if rule.body and opened:
                     end = _close(code, head_end)
                     d.body_lines = code.count("\n", begin, end)
-                    d.cyclomatic, d.max_nesting = _complexity(code[head_end + 1 : end])
+                    d.cyclomatic, d.max_nesting = _complexity(code[head_end + 1 : end], language)
                     d.param_count = _parameters(code, begin + m.start("name"))
                     skip = end
                 decls.append(d)

@@ -66,3 +66,15 @@ def test_types_and_texts():
     assert X.parse_page(X.render_page(page)) == page
     assert X.parse_page("no front matter") is None
     assert X.excerpt_of("aaa\nthe Word here\nbbb", "word") == "the Word here..."
+
+
+def test_match_arms_and_conditional_expressions_are_branches():
+    from corvane.parsers import scanner
+
+    rust = "fn classify(x: i32) -> &'static str {\n    match x {\n        0 => \"zero\",\n        1..=9 => \"single digit\",\n        _ => \"large\",\n    }\n}\n"
+    ts = 'function choose(x: number, fallback?: string): string {\n    const a = x > 0 ? "pos" : "neg";\n    const b = fallback ?? o?.p;\n    if (x === 0) {\n        return b;\n    }\n    return a;\n}\n'
+    js = 'function greet(name, loud) {\n    const greeting = loud ? "HELLO" : "hello";\n    return greeting + " " + (name || "world");\n}\n'
+    java = "class A {\n    int f(List<? extends B> x) {\n        Map<?, ? super C> y = null;\n        return x == null ? 0 : 1;\n    }\n}\n"
+    for language, text, name, want in (("Rust", rust, "classify", (4, 1)), ("TypeScript", ts, "choose", (4, 1)), ("JavaScript", js, "greet", (3, 0)), ("Java", java, "f", (2, 0))):
+        found = [d for d in scanner.braces(language, text)[1] if d.name == name]
+        assert [(d.cyclomatic, d.max_nesting) for d in found] == [want], language
