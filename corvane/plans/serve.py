@@ -16,8 +16,10 @@ ROWS = 500
 
 
 def compact(df: DataFrame, most: int = ROWS) -> dict:
-    """{columns, rows} of at most `most` rows, which is what a reply shows."""
-    return {"columns": df.columns, "rows": [list(json.loads(json.dumps(list(r), default=str))) for r in df.limit(most).collect()]}
+    """{columns, rows, total}: at most `most` rows, and the number of all of them where that is larger."""
+    rows = df.limit(most + 1).collect()
+    total = len(rows) if len(rows) <= most else df.count()
+    return {"columns": df.columns, "rows": [list(json.loads(json.dumps(list(r), default=str))) for r in rows[:most]], "total": total}
 
 
 def reply(tools: Tools, line: str) -> dict | None:

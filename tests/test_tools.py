@@ -78,3 +78,10 @@ def test_rpc(tools):
     assert ask(method="tools/call", params={"name": "nope"})["result"]["isError"]
     assert ask(method="x")["error"]["code"] == -32601 and ask(method="tools/call", params={})["error"]["code"] == -32602
     assert reply(tools, "{")["error"]["code"] == -32700 and reply(tools, '{"method": "initialized"}') is None
+
+
+def test_replies_tell_how_many_rows_there_are(spark):
+    from corvane.plans.serve import compact
+
+    got = compact(spark.range(20), most=5)
+    assert len(got["rows"]) == 5 and got["total"] == 20 and compact(spark.range(5), most=5)["total"] == 5
