@@ -22,7 +22,7 @@ def declarations(files: DataFrame) -> DataFrame:
         for f in frames:
             rows = []
             for member, path, language, content in f.itertuples(index=False):
-                _, decls = parse(language, content or "")
+                _, decls = parse(language, content or "", path)
                 depth: list[int] = []
                 for seq, d in enumerate(decls):
                     depth.append(0 if d.parent is None else depth[d.parent] + 1)
@@ -37,6 +37,6 @@ def imports(files: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame([(m, p, k, t) for m, p, lang, c in f.itertuples(index=False) for k, t in enumerate(parse(lang, c or "")[0])], columns=["member", "path", "ord", "text"])
+            yield pd.DataFrame([(m, p, k, t) for m, p, lang, c in f.itertuples(index=False) for k, t in enumerate(parse(lang, c or "", p)[0])], columns=["member", "path", "ord", "text"])
 
     return files.select("member", "path", "language", "content").mapInPandas(run, "member string, path string, ord bigint, text string")

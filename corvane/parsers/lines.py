@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Fixed values.
 HTML_TAGS = "head|body|header|nav|main|section|article|aside|footer|form|table|script|style|template|slot|dialog"
+HTML_ID, HTML_TITLE = "id\\s*=\\s*[\"']([^\"']+)[\"']", "<title[^>]*>([^<]+)</title>"
+HTML_SHEET, HTML_SCRIPT = "<link\\s+rel\\s*=\\s*[\"']stylesheet[\"'][^>]*href\\s*=\\s*[\"']([^\"']+)[\"']", "<script[^>]*src\\s*=\\s*[\"']([^\"']+)[\"']"
 SHELL_WORDS = "if for while until case do then else elif fi done esac export alias source echo return exit set unset local readonly".split()
 
 
@@ -30,7 +32,7 @@ def _first(cases: list[tuple[str, str, Column, Column]], df: DataFrame) -> DataF
 def html(files: DataFrame) -> DataFrame:
     """The first structural tag of each line, with an id on that line, and titles."""
     x = lines(files).withColumn("t", F.trim("text"))
-    tag, ident, title = F.regexp_extract("t", f"<({HTML_TAGS})[\\s>]", 1), F.regexp_extract("t", "id\\s*=\\s*[\"']([^\"']+)[\"']", 1), F.regexp_extract("t", "<title[^>]*>([^<]+)</title>", 1)
+    tag, ident, title = F.regexp_extract("t", f"<({HTML_TAGS})[\\s>]", 1), F.regexp_extract("t", HTML_ID, 1), F.regexp_extract("t", HTML_TITLE, 1)
     name = F.when(ident != "", F.concat(tag, F.lit("#"), ident)).otherwise(tag)
     a = x.where(tag != "").select("path", "line", F.lit("ConfigKey").alias("kind"), name.alias("name"), F.concat(F.lit("<"), name, F.lit(">")).alias("signature"))
     cut = F.when(F.octet_length(title) > 60, F.concat(F.left(title, F.lit(60)), F.lit("..."))).otherwise(title)
@@ -40,7 +42,7 @@ def html(files: DataFrame) -> DataFrame:
 def html_imports(files: DataFrame) -> DataFrame:
     """(path, line, text): the first stylesheet and the first script source of each line."""
     x = lines(files)
-    sheet, script = F.regexp_extract("text", "<link\\s+rel\\s*=\\s*[\"']stylesheet[\"'][^>]*href\\s*=\\s*[\"']([^\"']+)[\"']", 1), F.regexp_extract("text", "<script[^>]*src\\s*=\\s*[\"']([^\"']+)[\"']", 1)
+    sheet, script = F.regexp_extract("text", HTML_SHEET, 1), F.regexp_extract("text", HTML_SCRIPT, 1)
     return x.select("path", "line", F.explode(F.filter(F.array(sheet, script), lambda s: s != "")).alias("text"))
 
 
@@ -98,19 +100,19 @@ def markdown(files: DataFrame) -> DataFrame:
 
 
 def properties(files: DataFrame) -> DataFrame:
-    """Keys; those with a dot stand under a group `prefix.*`, at its first line."""
-    p = "^([A-Za-z0-9_.-]+)\\s*[=:]"
+    """Keys; those with a dot stand under a group of their first part, at its first line."""
+    p = "^([A-Za-z_][A-Za-z0-9_.-]*)\\s*[=:]"
     x = lines(files).withColumn("t", F.trim("text")).where(~F.col("t").rlike("^[#!]") & F.col("t").rlike(p)).select("path", "line", F.regexp_extract("t", p, 1).alias("name"), "t")
-    group = F.when(F.contains("name", F.lit(".")), F.concat(F.regexp_extract("name", "^([^.]*)", 1), F.lit(".*")))
+    group = F.when(F.contains("name", F.lit(".")), F.regexp_extract("name", "^([^.]*)", 1))
     keys = x.select("path", "line", F.lit("ConfigKey").alias("kind"), "name", F.col("t").alias("signature"), group.alias("parent"))
     heads = keys.where("parent IS NOT NULL").groupBy("path", "parent").agg(F.min("line").alias("line"))
-    return keys.union(heads.select("path", "line", F.lit("ConfigKey"), "parent", "parent", F.lit(None).cast("string")))
+    return keys.union(heads.select("path", "line", F.lit("ConfigKey"), "parent", F.concat("parent", F.lit(".*")), F.lit(None).cast("string")))
 
 
 def toml_keys(files: DataFrame) -> DataFrame:
     """(path, line, kind, name, section): sections, and keys with the section they stand in (carried down)."""
     x = lines(files).withColumn("t", F.trim("text")).where(~F.startswith("t", F.lit("#")))
-    head, key = F.regexp_extract("t", "^\\[\\[?([^\\]]+)\\]\\]?", 1), F.regexp_extract("t", "^([A-Za-z0-9_.\"-]+)\\s*=", 1)
+    head, key = F.regexp_extract("t", "^\\[\\[?([^\\]]+)\\]", 1), F.regexp_extract("t", "^([A-Za-z_][A-Za-z0-9_-]*)\\s*=", 1)
     x = x.withColumns({"head": F.nullif(F.trim(head), F.lit("")), "key": F.nullif(key, F.lit(""))})
     run = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("section", F.last("head", True).over(run))

@@ -11,8 +11,11 @@ from __future__ import annotations
 import ast
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from corvane.parsers.lines import HTML_ID, HTML_SCRIPT, HTML_SHEET, HTML_TAGS, HTML_TITLE, SHELL_WORDS
+
 
 @dataclass
 class Decl:
@@ -446,7 +449,115 @@ def sql(text: str) -> tuple[list[str], list[Decl]]:
     return [], decls
 
 
-def parse(language: str, text: str) -> tuple[list[str], list[Decl]]:
+#: What a trimmed line declares, by language: pattern, kind, signature over the groups. The first that fits counts.
+LINE_RULES: dict[str, list[tuple[str, str, str]]] = {
+    "Shell": [
+        (r"function\s+([A-Za-z_]\w*)\s*\(\s*\)", "ShellFunction", "function {0}()"),
+        (r"function\s+([A-Za-z_]\w*)(?:\s*\{|\s*$)", "ShellFunction", "function {0}"),
+        (r"([A-Za-z_]\w*)\s*\(\s*\)", "ShellFunction", "{0}()"),
+        (r"export\s+([A-Za-z_]\w*)=(.*)", "Constant", "export {0}={1}"),
+        (r"alias\s+([A-Za-z_][\w-]*)=", "Constant", "alias {0}"),
+    ],
+    "CMake": [
+        (r"(?i:project)\s*\(\s*(\w+)", "Module", "project({0})"),
+        (r"(?i:add_executable)\s*\(\s*(\w+)", "Function", "add_executable({0})"),
+        (r"(?i:add_library)\s*\(\s*(\w+)", "Module", "add_library({0})"),
+        (r"(?i:function)\s*\(\s*(\w+)", "Function", "function({0})"),
+        (r"(?i:macro)\s*\(\s*(\w+)", "Macro", "macro({0})"),
+        (r'(?i:option)\s*\(\s*(\w+)\s+"([^"]*)', "ConfigKey", 'option({0} "{1}")'),
+        (r"(?i:set)\s*\(\s*([A-Z]\w*)", "Constant", "set({0})"),
+    ],
+}
+#: What a trimmed line imports, in place of a declaration.
+LINE_IMPORTS = {"Shell": [r"(?:source\s+|\.\s+)(.+)$"], "CMake": [r"(?i:find_package)\s*\(\s*(\w+)", r"(?i:add_subdirectory)\s*\(\s*([^\s)]+)"]}
+#: Bytes of a value that a signature shows.
+SHOWN = {"Shell": 60, "CMake": 50, "Properties": 50, "HTML": 60}
+
+
+def shown(value: str, most: int) -> str:
+    return value[:most] + "..." if len(value.encode()) > most else value
+
+
+def numbered(text: str) -> Iterator[tuple[int, str]]:
+    """Lines from 1, trimmed; a last line feed adds none."""
+    return ((k, line.strip()) for k, line in enumerate(text.removesuffix("\n").split("\n"), 1))
+
+
+def line_rules(language: str, text: str) -> tuple[list[str], list[Decl]]:
+    """Shell and CMake: one declaration or import a line."""
+    imports, decls = [], []
+    for number, line in numbered(text):
+        if line.startswith("#"):
+            continue
+        if m := next(filter(None, (re.match(p, line) for p in LINE_IMPORTS[language])), None):
+            imports.append(m[1].strip().strip('"').strip("'"))
+            continue
+        for pattern, kind, signature in LINE_RULES[language]:
+            if m := re.match(pattern, line):
+                if not (language == "Shell" and kind == "ShellFunction" and m[1] in SHELL_WORDS and not line.startswith("function")):
+                    decls.append(Decl(kind, m[1], signature.format(m[1], *(shown(v, SHOWN[language]) for v in m.groups()[1:])), number))
+                break
+    return imports, decls
+
+
+def html(text: str) -> tuple[list[str], list[Decl]]:
+    """The first structural tag of each line with an id on that line, titles, style sheets and scripts."""
+    imports, decls = [], []
+    for number, line in numbered(text):
+        if m := re.search(rf"<({HTML_TAGS})[\s>]", line):
+            ident = re.search(HTML_ID, line)
+            name = f"{m[1]}#{ident[1]}" if ident else m[1]
+            decls.append(Decl("ConfigKey", name, f"<{name}>", number))
+        if m := re.search(HTML_TITLE, line):
+            decls.append(Decl("ConfigKey", "title", f"title: {shown(m[1], SHOWN['HTML'])}", number))
+        imports += [m[1] for p in (HTML_SHEET, HTML_SCRIPT) if (m := re.search(p, line))]
+    return imports, decls
+
+
+def headings(text: str) -> tuple[list[str], list[Decl]]:
+    """Markdown headings under the nearest heading above of a smaller level."""
+    decls: list[Decl] = []
+    open_at: list[tuple[int, int]] = []
+    for number, line in enumerate(text.removesuffix("\n").split("\n"), 1):
+        if m := re.match(r"(#{1,6})\s+(.+)$", line.removesuffix("\r")):
+            level, name = len(m[1]), m[2].strip()
+            open_at = [x for x in open_at if x[0] < level]
+            decls.append(Decl("Heading", name, f"{m[1]} {name}", number, parent=open_at[-1][1] if open_at else None))
+            open_at.append((level, len(decls) - 1))
+    return [], decls
+
+
+def toml(text: str, path: str) -> tuple[list[str], list[Decl]]:
+    """Sections and their keys; the keys of a Cargo manifest's dependency sections are imports too."""
+    imports, decls, section, wanted = [], [], None, False
+    manifest = path.rpartition("/")[2] == "Cargo.toml"
+    for number, line in numbered(text):
+        if m := re.match(r"\[\[([^\]]+)\]\]", line) or re.match(r"\[([^\]]+)\]", line):
+            wanted = manifest and not line.startswith("[[") and re.match(r"(?:dev-|build-)?dependencies(?:\.|$)", m[1]) is not None
+            section = len(decls)
+            decls.append(Decl("ConfigKey", m[1], m[0], number))
+        elif m := re.match(r"([A-Za-z_][A-Za-z0-9_-]*)\s*=", line):
+            imports += [m[1]] * wanted
+            decls.append(Decl("ConfigKey", m[1], line, number, "Private", section))
+    return imports, decls
+
+
+def properties(text: str) -> tuple[list[str], list[Decl]]:
+    """Keys; those with a dot stand under a group of their first part, made where that is first met."""
+    decls: list[Decl] = []
+    groups: dict[str, int] = {}
+    for number, line in numbered(text):
+        if m := re.match(r"([A-Za-z_][\w.-]*)\s*[=:](.*)$", line):
+            group, dot, _ = m[1].partition(".")
+            if dot and group not in groups:
+                groups[group] = len(decls)
+                decls.append(Decl("ConfigKey", group, f"{group}.*", number))
+            signature = f"{m[1]} = {shown(m[2].strip(), SHOWN['Properties'])}"
+            decls.append(Decl("ConfigKey", m[1], signature, number, "Private" if dot else "Public", groups[group] if dot else None))
+    return [], decls
+
+
+def parse(language: str, text: str, path: str = "") -> tuple[list[str], list[Decl]]:
     """Imports and declarations; nothing where the language or the text is not understood."""
     try:
         if language == "Python":
@@ -459,6 +570,16 @@ def parse(language: str, text: str) -> tuple[list[str], list[Decl]]:
             return xml(text)
         if language == "SQL":
             return sql(text)
+        if language in LINE_RULES:
+            return line_rules(language, text)
+        if language == "HTML":
+            return html(text)
+        if language == "Markdown":
+            return headings(text)
+        if language == "TOML":
+            return toml(text, path)
+        if language == "Properties":
+            return properties(text)
         return braces(language, text) if language in RULES else ([], [])
     except (SyntaxError, ValueError, RecursionError):
         return [], []

@@ -48,13 +48,41 @@ def test_markdown_parents(spark):
 
 def test_line_parsers(spark):
     f = lambda t: spark.createDataFrame([("p", t)], "path string, content string")
-    assert [(r["name"], r.parent) for r in lines.properties(f("# c\na.b=1\na.c=2\nd: 3\n")).orderBy("line", "name").collect()] == [("a.*", None), ("a.b", "a.*"), ("a.c", "a.*"), ("d", None)]
+    assert [(r["name"], r.parent) for r in lines.properties(f("# c\na.b=1\na.c=2\nd: 3\n")).orderBy("line", "name").collect()] == [("a", None), ("a.b", "a"), ("a.c", "a"), ("d", None)]
     assert [(r.kind, r["name"]) for r in lines.cmake(f("project(x)\nset(FOO 1)\nset(foo 1)\nadd_executable(y a.c)\n")).orderBy("line").collect()] == [("Module", "x"), ("Constant", "FOO"), ("Function", "y")]
     assert [r.text for r in lines.shell_imports(f("source \"./a.sh\"\n. b\n")).orderBy("line").collect()] == ["./a.sh", "b"]
     assert [r.text for r in lines.html_imports(f('<link rel="stylesheet" href="a.css"><script src="b.js">')).collect()] == ["a.css", "b.js"]
     assert [r.depth for r in lines.brace_depth(f("{\n{}\n}\n")).orderBy("line").collect()] == [1, 1, 0]
 
 
+def test_line_languages_reach_ingest(spark):
+    text = {
+        "run.sh": "#!/bin/sh\n\tsource \"./a.sh\"\nfunction f() {\n}\nfunction g {\ng2 () {\nif ()\nexport X=" + "v" * 70 + "\nalias ll='ls'\n",
+        "Cargo.toml": "top = 1\n[package]\nname = \"x\"\n# c = 1\n[dependencies]\nserde = \"1\"\n[dev-dependencies.foo]\nv = 2\n[[bin]]\nname = \"b\"\n",
+        "x.toml": "[dependencies]\na = 1\n",
+        "README.md": "# a\r\n### b\n## c\n#no\n# d\n",
+        "i.html": "<title>T</title>\n  <nav id='top'>\n<link rel='stylesheet' href='a.css'><script src='b.js'></script>\n",
+        "CMakeLists.txt": "PROJECT(x)\nadd_subdirectory(lib)\nfind_package(Boost REQUIRED)\nset(foo 1)\nset(Foo 1)\noption(W \"wide\" ON)\nadd_library(y a.c)\n",
+        "a.properties": "# c\na.b=1\nd: 3\na.c = x\n!z=1\n",
+    }
+    languages = {"run.sh": "Shell", "README.md": "Markdown", "i.html": "HTML", "CMakeLists.txt": "CMake", "a.properties": "Properties"}
+    files = spark.createDataFrame([("m", p, languages.get(p, "TOML"), t) for p, t in text.items()], "member string, path string, language string, content string")
+    got: dict = {p: [] for p in text}
+    for r in ingest.declarations(files).orderBy("path", "seq").collect():
+        got[r.path].append((r["name"], r.signature, r.line, r.parent_seq, r.visibility == "Public"))
+    assert got["run.sh"] == [("f", "function f()", 3, None, True), ("g", "function g", 5, None, True), ("g2", "g2()", 6, None, True), ("X", "export X=" + "v" * 60 + "...", 8, None, True), ("ll", "alias ll", 9, None, True)]
+    assert [x[0::3] for x in got["Cargo.toml"]] == [("top", None), ("package", None), ("name", 1), ("dependencies", None), ("serde", 3), ("dev-dependencies.foo", None), ("v", 5), ("bin", None), ("name", 7)]
+    assert got["Cargo.toml"][7][1:3] == ("[[bin]]", 9) and got["Cargo.toml"][2][4] is False
+    assert [(x[0], x[2], x[3]) for x in got["README.md"]] == [("a", 1, None), ("b", 2, 0), ("c", 3, 0), ("d", 5, None)]
+    assert [x[:2] for x in got["i.html"]] == [("title", "title: T"), ("nav#top", "<nav#top>"), ("script", "<script>")]
+    assert [x[1] for x in got["CMakeLists.txt"]] == ["project(x)", "set(Foo)", 'option(W "wide")', "add_library(y)"]
+    assert got["a.properties"] == [("a", "a.*", 2, None, True), ("a.b", "a.b = 1", 2, 0, False), ("d", "d = 3", 3, None, True), ("a.c", "a.c = x", 4, 0, False)]
+    imports = {(r.path, r.text) for r in ingest.imports(files).collect()}
+    assert imports == {("run.sh", "./a.sh"), ("Cargo.toml", "serde"), ("Cargo.toml", "v"), ("i.html", "a.css"), ("i.html", "b.js"), ("CMakeLists.txt", "lib"), ("CMakeLists.txt", "Boost")}
+    heads = lines.markdown(files.where("language = 'Markdown'")).orderBy("line").collect()
+    assert [(r["name"], r.line) for r in heads] == [(x[0], x[2]) for x in got["README.md"]]
+
+
 def test_types_and_texts():
     assert X.signature_types("fn f(a: &Foo, b: Vec<Bar>) -> Result<Baz, error>", "Rust") == (["Foo", "Vec", "Bar"], ["Result", "Baz"])
     assert X.signature_types("func (r *R) F(a Foo, b int) (Bar, error)", "Go") == (["Foo"], ["Bar"])
