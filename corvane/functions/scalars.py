@@ -47,15 +47,22 @@ def bigram_similarity(a: Column, b: Column) -> Column:
 
 
 def score_match(text: Column, query: str, terms: list[str]) -> Column:
-    """Points of a lower-cased text: substring 10, equal 20 more, each term 5, each term that is a whole part 3, else a fuzzy remainder."""
+    """Points of a lower-cased text: substring 10, equal 20 more, each term 5, each term that is a whole part 3, else a fuzzy remainder.
+
+    Texts are cut into parts only where they hold the term, and into bigrams only where they hold so many
+    of the query's bigrams that a similarity of over 0.4 is possible: with c of the query's y bigrams, it is at most 2c / (c + y).
+    """
     score = F.when(F.contains(text, F.lit(query)), 10).otherwise(0) + F.when(text == query, 20).otherwise(0)
-    parts = split_identifier(text)
     for term in terms:
-        score = score + F.when(F.contains(text, F.lit(term)), 5).otherwise(0) + F.when(F.array_contains(parts, term), 3).otherwise(0)
+        score = score + F.when(F.contains(text, F.lit(term)), F.when(F.array_contains(split_identifier(text), term), 8).otherwise(5)).otherwise(0)
     if len(query.encode()) < 4:
         return score.cast("int")
-    alike = bigram_similarity(text, F.lit(query))
-    return F.when(score == 0, F.when(alike > 0.4, F.floor(alike * 8)).otherwise(0)).otherwise(score).cast("int")
+    pairs = sorted({query[k : k + 2] for k in range(len(query) - 1)})
+    shared = F.lit(0)
+    for pair in pairs:
+        shared = shared + F.contains(text, F.lit(pair)).cast("int")
+    alike = 2.0 * shared / (F.size(bigrams(text)) + len(pairs))
+    return F.when(score != 0, score).when(shared * 4 <= len(pairs), 0).when(alike > 0.4, F.floor(alike * 8)).otherwise(0).cast("int")
 
 
 def word_boundary(text: Column, word: str) -> Column:
@@ -138,6 +145,15 @@ def import_candidates(text: Column) -> Column:
     return F.filter(F.transform(F.concat(trailing, leading), lambda x: F.lower(x)), lambda x: F.octet_length(x) >= 3)
 
 
+def relative_target(path: Column, text: Column) -> Column:
+    """Lower-case path that a relative import names, from its file's folder, without `.` and `..`; else null."""
+    asked = import_path(text)
+    joined = F.split(F.concat(F.regexp_replace(path, "[^/]*\\z", ""), asked), "/")
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x))
+    folded = F.aggregate(joined, F.array().cast("array<string>"), step)
+    return F.when(asked.rlike("^[.]{1,2}/"), F.lower(F.array_join(folded, "/")))
+
+
 def import_path(text: Column) -> Column:
     """Quoted path after the keyword from, else a quoted relative path, else a bare one."""
     quoted = lambda s: F.coalesce(F.nullif(F.regexp_extract(s, '"([^"]*)"', 1), F.lit("")), F.nullif(F.regexp_extract(s, "'([^']*)'", 1), F.lit("")))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from corvane.functions import scalars as S
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def _paths(files: DataFrame) -> DataFrame:
@@ -17,12 +19,17 @@ def resolve_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
 
     An import's candidates match path ends that need not begin at a component. Instead of comparing all
     pairs, the paths' ends of three bytes or more that some import asks for become keys: both sides
-    meet in an equi-join, and each key keeps its best path (the shortest, then the first).
+    meet in an equi-join, and each key keeps its best path (the shortest, then the first). A relative
+    import asks first for the whole path it names from its own folder, then for that folder's index or mod;
+    such keys begin with a line feed, which no path has.
     """
-    asked = imports.select("path", "ord", "text", F.posexplode(S.import_candidates(F.col("text"))).alias("at", "key"))
+    whole = S.relative_target(F.col("path"), F.col("text"))
+    first = F.when(whole.isNull(), F.array().cast("array<string>")).otherwise(F.transform(F.array(*map(F.lit, ("", "/index", "/mod"))), lambda x: F.concat(F.lit("\n"), whole, x)))
+    asked = imports.select("path", "ord", "text", F.posexplode(F.concat(first, S.import_candidates(F.col("text")))).alias("at", "key"))
     wanted = asked.select("key").distinct()
     forms = _paths(files).select("path", "low", F.explode(F.array_distinct(F.array("low", "bare", F.regexp_replace("bare", "/(mod|index)\\z", "")))).alias("form"))
     ends = forms.select("path", "low", F.explode(F.sequence(F.lit(1), F.greatest(F.length("form") - 2, F.lit(1)))).alias("i"), "form").select("path", "low", F.expr("substring(form, i)").alias("key"))
+    ends = ends.union(_paths(files).select("path", "low", F.explode(F.array_distinct(F.array("low", "bare"))).alias("form")).select("path", "low", F.concat(F.lit("\n"), "form")))
     best = ends.join(wanted, "key", "left_semi").groupBy("key").agg(F.min_by("path", F.struct(F.octet_length("low"), S.path_parts(F.col("path")))).alias("target"))
     hit = asked.join(best, "key").where("target <> path").groupBy("path", "ord", "text").agg(F.min_by("target", "at").alias("target"))
     return hit
@@ -54,22 +61,9 @@ def symbol_graph(decls: DataFrame, rels: DataFrame) -> DataFrame:
     return own.union(refs).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """Edges (src, dst) whose ends are both within `hops` steps of the seeds (id), along edges.
-
-    One join a hop: the frontier is what the last hop newly met.
-    """
-    seen, front = seeds.select("id").distinct(), seeds.select("id").distinct()
-    for _ in range(hops):
-        step = edges.join(front, edges["src"] == front["id"]).select(F.col("dst").alias("id")).distinct()
-        front = step.join(seen, "id", "left_anti")
-        seen = seen.union(front)
-    a, b = seen.withColumnRenamed("id", "src"), seen.withColumnRenamed("id", "dst")
-    return edges.join(a, "src", "left_semi").join(b, "dst", "left_semi").select("src", "dst")
-
-
-def reach_all(spark: SparkSession, edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """As reach without a bound: hops until the frontier is empty, with a checkpoint each hop."""
+def _written(df: DataFrame) -> DataFrame:
+    """df computed once, in the folder that `spark.checkpoint.dir` names."""
+    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
@@ -77,15 +71,33 @@ def reach_all(spark: SparkSession, edges: DataFrame, seeds: DataFrame) -> DataFr
         if not named and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp())
-    seen = front = seeds.select("id").distinct().checkpoint()
-    while not front.isEmpty():
-        step = edges.join(front, edges["src"] == front["id"]).select(F.col("dst").alias("id")).distinct()
-        front = step.join(seen, "id", "left_anti").checkpoint()
-        seen = seen.union(front).checkpoint()
+    return df.checkpoint()
+
+
+def _between(edges: DataFrame, seen: DataFrame) -> DataFrame:
     a, b = seen.withColumnRenamed("id", "src"), seen.withColumnRenamed("id", "dst")
     return edges.join(a, "src", "left_semi").join(b, "dst", "left_semi").select("src", "dst")
 
 
+def reach(edges: DataFrame, seeds: DataFrame, hops: int | None) -> DataFrame:
+    """Edges (src, dst) whose ends are both within `hops` steps of the seeds (id), along edges; None has no bound.
+
+    The edges are written once. One join a hop: the frontier is what the last hop newly met, and it is
+    written too, so no hop computes an earlier one again.
+    """
+    edges = _written(edges.select("src", "dst"))
+    met = [_written(seeds.select("id").distinct())]
+    while (hops is None or len(met) <= hops) and not met[-1].isEmpty():
+        step = edges.join(met[-1], edges["src"] == met[-1]["id"]).select(F.col("dst").alias("id")).distinct()
+        met.append(_written(step.join(reduce(DataFrame.union, met), "id", "left_anti")))
+    return _between(edges, reduce(DataFrame.union, met))
+
+
+def reach_all(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """As reach without a bound: hops until the frontier is empty."""
+    return reach(edges, seeds, None)
+
+
 def structural_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, kind, name, change, old_signature, new_signature) of declarations down to depth 1; the last of equal keys counts."""
     key = ["path", "kind", "name"]

@@ -37,7 +37,8 @@ def relevance(decls: DataFrame, query: str) -> DataFrame:
     terms = query.split()
     name, sig = S.score_match(F.lower("name"), query, terms), S.score_match(F.lower("signature"), query, terms)
     doc = F.when(F.coalesce("doc_comment", F.lit("")) != "", S.score_match(F.lower("doc_comment"), query, terms)).otherwise(0)
-    out = decls.withColumns({"s_name": name, "s_sig": sig, "s_doc": doc})
+    # A generator of one row: the points are computed once, not again in every filter, key and output that reads them.
+    out = decls.select("*", F.inline(F.array(F.struct(name.alias("s_name"), sig.alias("s_sig"), doc.alias("s_doc")))))
     total = 3 * F.col("s_name") + 2 * F.col("s_sig") + F.col("s_doc")
     on = F.concat_ws("+", F.when(F.col("s_name") > 0, "name"), F.when(F.col("s_sig") > 0, "signature"), F.when(F.col("s_doc") > 0, "doc"))
     out = out.withColumn("score", (total + F.when((F.col("visibility") == "Public") & (total > 0), 5).otherwise(0)).cast("bigint")).withColumn("match_on", on)

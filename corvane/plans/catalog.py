@@ -264,11 +264,13 @@ def related_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RESOLVED = """, b AS (SELECT path, ord, text, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(text, '^(use )*(import )*(from )*', ''), ';+$', '')), '::', '/', 'g'), '[.]', '/', 'g') AS n FROM imports),
 c AS (SELECT path, ord, text, list_filter(string_split(regexp_replace(regexp_replace(n, '^(crate/|super/|self/)', ''), '[)]*''*"*$', ''), '/'), lambda x: x <> '') AS s FROM b),
+rel_whole AS (SELECT path, ord, text, lower(regexp_replace(regexp_replace(regexp_replace(path, '[^/]*$', '') || regexp_extract(text, ' from ''([.]+/[^'']*)''', 1), '/[.]/', '/', 'g'), '[^/]+/[.][.]/', '')) AS whole FROM imports WHERE contains(text, ' from ''./') OR contains(text, ' from ''../')),
 d AS (SELECT path, ord, text, unnest(list_concat(list_transform(range(1, len(s) + 1), lambda i: array_to_string(s[i:], '/')), list_transform(range(len(s) - 1, 0, -1), lambda i: array_to_string(s[:i], '/')))) AS key,
              generate_subscripts(list_concat(list_transform(range(1, len(s) + 1), lambda i: array_to_string(s[i:], '/')), list_transform(range(len(s) - 1, 0, -1), lambda i: array_to_string(s[:i], '/'))), 1) AS pos FROM c),
 f AS (SELECT path AS target, lower(path) AS low, regexp_replace(lower(path), '[.][^./]*$', '') AS bare FROM files),
 m AS (SELECT d.*, target, row_number() OVER (PARTITION BY d.path, ord, pos ORDER BY strlen(low), string_split(target, '/')) AS best
-      FROM d JOIN f ON strlen(key) >= 3 AND (ends_with(low, lower(key)) OR ends_with(bare, lower(key)) OR ends_with(bare, lower(key) || '/mod') OR ends_with(bare, lower(key) || '/index'))),
+      FROM d JOIN f ON strlen(key) >= 3 AND (ends_with(low, lower(key)) OR ends_with(bare, lower(key)) OR ends_with(bare, lower(key) || '/mod') OR ends_with(bare, lower(key) || '/index'))
+      UNION ALL SELECT w.path, ord, text, whole, 0, target, row_number() OVER (PARTITION BY w.path, ord ORDER BY strlen(low), string_split(target, '/')) FROM rel_whole w JOIN f ON low = whole OR bare = whole),
 resolved AS (SELECT path, ord, text, arg_min(target, pos) AS target FROM m WHERE best = 1 AND target <> path GROUP BY path, ord, text),
 edges AS (SELECT DISTINCT path AS src, target AS dst FROM resolved) """
 
@@ -307,7 +309,7 @@ SELECT src, dst FROM edges WHERE src IN (SELECT id FROM w) AND dst IN (SELECT id
 def reach_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Code(spark, sf_dir)
     edges = graph.file_graph(c.files, c.imports)
-    return graph.reach_all(spark, edges, edges.where(F.contains("src", F.lit("file_1."))).select(F.col("src").alias("id")))
+    return graph.reach_all(edges, edges.where(F.contains("src", F.lit("file_1."))).select(F.col("src").alias("id")))
 
 
 @register(CODE + RESOLVED + ", n AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges) SELECT id, 'n' || (row_number() OVER (ORDER BY id) - 1) AS node FROM n")

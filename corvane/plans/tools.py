@@ -190,7 +190,7 @@ class Tools:
         edges = graph.file_graph(self.files, self.imports) if level == "file" else graph.symbol_graph(self.decls, self.rels).select("src", "dst")
         if path is not None:
             ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().where(F.contains(F.lower("id"), F.lit(path.lower())))
-            edges = graph.reach(edges, ids, depth) if depth is not None else graph.reach_all(self.spark, edges, ids)
+            edges = graph.reach(edges, ids, depth) if depth is not None else graph.reach_all(edges, ids)
         if format == "mermaid":
             return render.mermaid_lines(edges, graph.mermaid_nodes(edges)).orderBy("k", "s").select("text")
         return render.dot_lines(edges).orderBy("k", "s").select("text") if format == "dot" else edges

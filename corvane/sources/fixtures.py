@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-#: Common table expressions: parts stand in for declarations of a source tree of forty files.
+#: Common table expressions: parts stand in for declarations of a source tree of a file for each twenty parts, and forty files at least.
 CTES = """
+tree_size AS (SELECT greatest(CAST(40 AS BIGINT), CAST(floor(count(*) / 20.0) AS BIGINT)) AS n FROM part),
 p AS (
-  SELECT CAST(p_partkey AS BIGINT) AS k, CAST(floor(p_partkey / 40.0) AS BIGINT) AS seq, p_partkey % 40 AS f, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size,
+  SELECT CAST(p_partkey AS BIGINT) AS k, CAST(floor(p_partkey / CAST((SELECT n FROM tree_size) AS DOUBLE)) AS BIGINT) AS seq, CAST(p_partkey AS BIGINT) % (SELECT n FROM tree_size) AS f, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size,
          split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2 FROM part),
 q AS (
   SELECT *, upper(substr(w1, 1, 1)) || substr(w1, 2) || upper(substr(w2, 1, 1)) || substr(w2, 2) AS camel,
@@ -37,10 +38,11 @@ decls AS (
 files AS (SELECT member, path, language, CAST(sum(coalesce(body_lines, 3)) * 37 AS BIGINT) AS size, CAST(sum(coalesce(body_lines, 3)) AS BIGINT) AS lines FROM decls GROUP BY member, path, language),
 imports AS (
   SELECT member, path, seq AS ord,
-         CASE WHEN f % 4 = 0 THEN 'use crate::m' || CAST(((f * 7 + seq * 3 + 1) % 40) % 5 AS STRING) || '::file_' || CAST((f * 7 + seq * 3 + 1) % 40 AS STRING) || ';'
-              WHEN f % 4 = 1 THEN 'import file_' || CAST((f * 7 + seq * 3 + 1) % 40 AS STRING)
-              WHEN f % 4 = 2 THEN 'import { a } from ''./file_' || CAST((f * 7 + seq * 3 + 1) % 40 AS STRING) || ''''
-              ELSE '"m2/file_' || CAST((f * 7 + seq * 3 + 1) % 40 AS STRING) || '"' END AS text FROM q WHERE seq < 4),
+         CASE WHEN f % 4 = 0 THEN 'use crate::m' || CAST(((f * 7 + seq * 3 + 1) % (SELECT n FROM tree_size)) % 5 AS STRING) || '::file_' || CAST((f * 7 + seq * 3 + 1) % (SELECT n FROM tree_size) AS STRING) || ';'
+              WHEN f % 4 = 1 THEN 'import file_' || CAST((f * 7 + seq * 3 + 1) % (SELECT n FROM tree_size) AS STRING)
+              WHEN f % 4 = 2 AND seq % 2 = 1 THEN 'import { a } from ''../m' || CAST(((f * 7 + seq * 3 + 1) % (SELECT n FROM tree_size)) % 5 AS STRING) || '/file_' || CAST((f * 7 + seq * 3 + 1) % (SELECT n FROM tree_size) AS STRING) || ''''
+              WHEN f % 4 = 2 THEN 'import { a } from ''./file_' || CAST((f * 7 + seq * 3 + 1) % (SELECT n FROM tree_size) AS STRING) || ''''
+              ELSE '"m2/file_' || CAST((f * 7 + seq * 3 + 1) % (SELECT n FROM tree_size) AS STRING) || '"' END AS text FROM q WHERE seq < 4),
 rels AS (SELECT member, path, seq, CASE WHEN k % 2 = 0 THEN 'Implements' ELSE 'Extends' END AS kind, camel || CASE WHEN k % 3 = 0 THEN '' ELSE '_x' END AS target FROM q WHERE r = 0)
 """
 

@@ -43,7 +43,7 @@ def test_reach(spark):
     got = lambda df: {tuple(r) for r in df.collect()}
     assert got(graph.reach(edges, seeds, 0)) == set()
     assert got(graph.reach(edges, seeds, 1)) == {("a", "b")}
-    assert got(graph.reach_all(spark, edges, seeds)) == {("a", "b"), ("b", "c"), ("c", "a")}
+    assert got(graph.reach_all(edges, seeds)) == {("a", "b"), ("b", "c"), ("c", "a")}
 
 
 def test_resolve_imports(spark):
@@ -52,6 +52,38 @@ def test_resolve_imports(spark):
     assert [(r.ord, r.target) for r in graph.resolve_imports(files, imports).collect()] == [(0, "src/a/xparser.rs")]
 
 
+def test_relative_imports_start_at_their_own_folder(spark):
+    files = spark.createDataFrame([(p,) for p in ("a/util.ts", "b/util.ts", "b/main.ts", "src/lib/core/utils.ts", "lib/core/utils.ts", "src/f/a/s/page.ts", "b/kit/index.ts", "src/config.json", "src/app.ts")], "path string")
+    asked = [("b/main.ts", "{ x } from './util'", "b/util.ts"), ("src/f/a/s/page.ts", "{ u } from '../../../lib/core/utils'", "src/lib/core/utils.ts"), ("b/main.ts", "import k from \"./kit\"", "b/kit/index.ts"), ("src/app.ts", "{ c } from './config.json'", "src/config.json"), ("src/app.ts", "./main", "b/main.ts"), ("src/app.ts", "   ", None)]
+    imports = spark.createDataFrame([(p, k, t) for k, (p, t, _) in enumerate(asked)], "path string, ord int, text string")
+    got = {r.ord: r.target for r in graph.resolve_imports(files, imports).collect()}
+    assert got == {k: target for k, (_, _, target) in enumerate(asked) if target}
+
+
+def test_scores_against_a_loop(spark):
+    import random
+    import re
+
+    from corvane.functions import scalars as S
+    from pyspark.sql import functions as F
+
+    def score(text: str, query: str) -> int:
+        parts = [x for x in re.split(r"[_\-./]", text) if x]
+        points = 10 * (query in text) + 20 * (query == text) + sum(5 * (t in text) + 3 * (t in parts) for t in query.split())
+        if points or len(query) < 4 or len(text) < 2:
+            return points
+        x, y = ({s[i : i + 2] for i in range(len(s) - 1)} for s in (text, query))
+        alike = 2 * len(x & y) / (len(x) + len(y))
+        return int(alike * 8) if alike > 0.4 else 0
+
+    rng = random.Random(5)
+    texts = ["", "r", "red ring", "red_ring", "small-ring.red"] + ["".join(rng.choice("red ing_") for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for query in ("red ring", "ring", "reding", "re"):
+        got = rows.select("t", S.score_match(F.col("t"), query, query.split()).alias("s")).collect()
+        assert [(r.t, r.s) for r in got] == [(t, score(t, query)) for t in texts], query
+
+
 def test_budget_never_drops_the_last(spark):
     costs = spark.createDataFrame([("a", 1, 100), ("b", 2, 100), ("c", 3, 100)], "path string, importance int, tokens int")
     kept = lambda n: {r.path for r in metrics.drop_files(costs, n).where("kept").collect()}
