@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def first_bytes(text: Column, most: int) -> Column:
-    """As many characters as fit in `most` bytes."""
-    whole = F.left(text, F.lit(most))
-    cut = F.regexp_replace(F.decode(F.substring(F.encode(whole, "UTF-8"), 1, most), "UTF-8"), "\ufffd\\z", "")
-    return F.when(F.octet_length(whole) <= most, whole).otherwise(cut)
+    """As many whole characters as fit in `most` bytes; the last one is cut at up to three bytes."""
+    held = F.left(text, F.lit(most)).cast("binary")
+    return F.coalesce(*[F.try_validate_utf8(F.substring(held, 1, most - k).cast("string")) for k in range(4)])
 
 
 def _hits(text: Column, words: list[str]) -> list[Column]:
@@ -43,11 +42,14 @@ def search(pages: DataFrame, sources: DataFrame, query: str, limit: int = 5) ->
     return out.orderBy(F.desc("score"), "ord").limit(limit).select("id", "title", "score")
 
 
-def route(pages: DataFrame, synthesis: str, source_pages: tuple[str, ...] = ()) -> DataFrame:
-    """(id, score) of pages but indexes: 50 if listed, 10 a long word in the title, 2 a long word in the body's first 1000 characters."""
+def route(pages: DataFrame, synthesis: str, source_pages: tuple[str, ...] = (), headed: bool = True) -> DataFrame:
+    """(id, score) of pages but indexes: 50 if listed, 10 a long word in the title, 2 a long word in the body's first 1000 bytes.
+
+    A body begins after a first line that starts with #; where pages are not `headed`, such a line is of the body.
+    """
     words = [w for w in synthesis.lower().split() if len(w.encode()) >= 4]
-    body = F.when(F.startswith("content", F.lit("#")) & F.contains("content", F.lit("\n")), F.expr("substring(content, instr(content, '\n') + 1)")).otherwise(F.col("content"))
-    head = F.lower(F.left(body, F.lit(1000)))
+    body = F.col("content") if not headed else F.when(F.startswith("content", F.lit("#")) & F.contains("content", F.lit("\n")), F.expr("substring(content, instr(content, '\n') + 1)")).otherwise(F.col("content"))
+    head = F.lower(first_bytes(body, 1000))
     score = F.when(F.col("id").isin(*source_pages), 50).otherwise(0) if source_pages else F.lit(0)
     for w in words:
         score = score + F.when(F.contains(F.lower("title"), F.lit(w)), 10).otherwise(0) + F.when(F.contains(head, F.lit(w)), 2).otherwise(0)
