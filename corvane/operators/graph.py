@@ -7,6 +7,9 @@ from functools import reduce
 from corvane.functions import scalars as S
 from pyspark.sql import DataFrame, Window, functions as F
 
+#: symbols that ask for one name in one piece
+PIECE = 4096
+
 
 def _paths(files: DataFrame) -> DataFrame:
     low = F.lower("path")
@@ -48,17 +51,29 @@ def symbols(decls: DataFrame) -> DataFrame:
 
 
 def symbol_graph(decls: DataFrame, rels: DataFrame) -> DataFrame:
-    """(src, dst, kind): relationships to symbols of the target's name, and signatures that hold a type's name as a word.
+    """(src, dst, kind), each once: relationships to symbols of the target's name, and signatures that hold a type's name as a word.
 
-    Signatures are cut into words that meet the names in an equi-join; types are structs, traits, enums, classes and the like.
+    Both are one equi-join of what asks for a name with what has it; types are structs, traits, enums, classes and the like. The edges of a
+    common name are all pairs of the two, so both sides lose their repeats before the join, and its rows are neither shuffled nor
+    sorted again. An id of two names could be met twice from one symbol; the edges to such ids alone are made distinct. A common name's
+    askers are dealt in pieces of about PIECE, each of which meets all that have the name.
     """
     s = symbols(decls).select("id", "path", "seq", "name", "kind", "signature")
-    t = s.select(F.col("id").alias("dst"), F.col("name").alias("target"))
-    own = s.join(rels.select("path", "seq", F.col("kind").alias("rel"), "target"), ["path", "seq"]).join(t, "target").where("id <> dst").select(F.col("id").alias("src"), "dst", F.col("rel").alias("kind"))
-    types = s.where(F.col("kind").isin("Struct", "Enum", "Trait", "Class", "Interface", "TypeAlias") & (F.octet_length("name") >= 3)).select(F.col("id").alias("dst"), F.col("name").alias("word"))
-    words = s.select(F.col("id").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("signature", F.lit("([A-Za-z0-9_]+)"), 1))).alias("word"))
-    refs = words.join(types, "word").where("src <> dst").select("src", "dst", F.lit("References").alias("kind"))
-    return own.union(refs).distinct()
+    typed = F.col("kind").isin("Struct", "Enum", "Trait", "Class", "Interface", "TypeAlias") & (F.octet_length("name") >= 3)
+    had = s.groupBy("id", "name").agg(F.max(F.coalesce(typed, F.lit(False))).alias("typed"))
+    had = had.groupBy(F.col("id").alias("dst")).agg(F.collect_list(F.struct(F.col("name").alias("word"), "typed")).alias("names"))
+    own = s.join(rels.select("path", "seq", F.col("kind").alias("rel"), "target"), ["path", "seq"]).select(F.col("id").alias("src"), F.col("rel").alias("kind"), F.col("target").alias("word"), F.lit(False).alias("only"))
+    refs = s.select(F.col("id").alias("src"), F.lit("References").alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all("signature", F.lit("([A-Za-z0-9_]+)"), 1))).alias("word"), F.lit(True).alias("only"))
+    refs = refs.join(decls.where(typed).select(F.col("name").alias("word")).distinct(), "word", "left_semi").select("src", "kind", "word", "only")
+    asks = own.union(refs).groupBy("src", "kind", "word").agg(F.min("only").alias("only"))
+    pieces = asks.groupBy("word").agg(F.expr(f"count(*) div {PIECE} + 1").alias("pieces"))
+    asks = asks.join(pieces, "word").withColumn("piece", F.pmod(F.xxhash64("src"), "pieces"))
+
+    def edges(ids: DataFrame) -> DataFrame:
+        held = ids.select("dst", F.inline("names")).join(pieces, "word").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece"))
+        return asks.join(held, ["word", "piece"]).where("(typed OR NOT only) AND src <> dst").select("src", "dst", "kind")
+
+    return edges(had.where("size(names) = 1")).union(edges(had.where("size(names) > 1")).distinct())
 
 
 def _written(df: DataFrame) -> DataFrame:

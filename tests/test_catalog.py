@@ -1,8 +1,9 @@
 """Registered queries and their operators on odd tables, against their oracle statements."""
 
 import os
+import re
 
-from corvane.operators import knowledge
+from corvane.operators import graph, knowledge
 from corvane.plans import catalog
 
 
@@ -40,3 +41,24 @@ def test_first_bytes_keeps_whole_characters(spark):
     texts = ["", "a", "abcdefgh", "ääääää", "aäääää", "€€€€", "a€€€", "𝄞𝄞𝄞", "a𝄞𝄞", "ab\ufffd\ufffdx", None]
     found = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").withColumn("head", knowledge.first_bytes(knowledge.F.col("text"), 7)).collect()
     assert {r["k"]: r["head"] for r in found} == {k: t and t.encode()[:7].decode(errors="ignore") for k, t in enumerate(texts)}
+
+
+def test_symbol_graph_gives_each_edge_once_and_moves_no_edges(spark, monkeypatch):
+    """Against all pairs: common names in pieces, ids of two names, repeated rows, relationships called as references; the joined rows need no exchange."""
+    monkeypatch.setattr(graph, "PIECE", 7, raising=False)
+    decls = [(f"f{k % 20}", k, ("Node", "Leaf", "x#2", "x", "ab", "")[k % 6], ("Struct", "Function", "Enum", "Trait", "Class", None)[k // 6 % 6], ("fn a(Node, x) -> Leaf", "Leaf<ab>", "x#2 Node Node", None)[k % 4]) for k in range(300)]
+    decls += [("g::x", 0, "y", "Struct", "x"), ("g", 0, "x::y", "Struct", "y"), ("g", 1, "Abcd", "Enum", "y"), ("h", 0, "x", "Enum", "Abcd"), ("h", 1, "x", "Enum", "Abcd"), ("h", 2, "x#2", "Struct", "x"), ("h", 3, "Wide", "Class", "x")]
+    rels = [("f1", 1, "Implements", "Node"), ("f1", 1, "Implements", "Node"), ("f1", 1, "References", "Leaf"), ("f2", 2, "Extends", "y"), ("f2", 2, "Extends", "x::y"), ("h", 3, "References", "x#2"), ("h", 3, "Extends", "x"), ("h", 3, "Extends", "x#2"), ("f3", 3, "Extends", None)]
+    made = spark.createDataFrame(decls, "path string, seq int, name string, kind string, signature string")
+    found = graph.symbol_graph(made, spark.createDataFrame(rels, "path string, seq int, kind string, target string"))
+    ids, seen = [], {}
+    for path, seq, name, kind, text in decls:
+        n = seen[path, name] = seen.get((path, name), 0) + 1
+        ids += [(f"{path}::{name}" + (f"#{n}" if n > 1 else ""), path, seq, name, kind, text)] if name else []
+    assert len({i[0] for i in ids}) < len({(i[0], i[3]) for i in ids})
+    types = ("Struct", "Enum", "Trait", "Class")
+    want = {(a[0], b[0], "References") for a in ids for b in ids if b[4] in types and len(b[3]) >= 3 and b[3] in set(re.findall("[A-Za-z0-9_]+", a[5] or ""))}
+    want |= {(a[0], b[0], r[2]) for r in rels for a in ids if a[1:3] == r[:2] for b in ids if b[3] == r[3]}
+    rows = sorted(map(tuple, found.collect()))
+    assert rows == sorted(e for e in want if e[0] != e[1]) and len(rows) > 2000
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
