@@ -14,13 +14,14 @@ pair is missed if it differs in two bits or more of every segment: at 0.8 that i
 The join gives each pair once, at its first segment.
 
 Hot buckets have pivots, in two rounds: the member whose own buckets are largest, which is the one that most others
-come from. Members within the radius are a star around their pivot. Stars are verified: a member that is
-similar to its pivot stands behind it, others stand for themselves. Within a star pairs of two members that are similar to the
-pivot need no look; of the others those alone meet that can be similar: two sets share no more than each shares with the
-pivot, but for shingles that the pivot lacks, of which each member has a bitmap. Between stars the nearest pair is verified first, and all other pairs where that one fails. So a large
-group gives no square of verified links, and no link that could connect two groups is left out.
+come from. Members within the radius are a star around their pivot. Each member of a star has a hub too, which stars of
+one group have in common: the heaviest pivot of its buckets, near or not, or that one's hub. Members are compared with pivot and hub, and
+what these links connect has one root. Pairs of one root need no look; of the others with a common hub those alone meet that can
+be similar: the two share no shingle of the hub that one of them lacks, and of the rest nothing that one of the bitmaps rules out. That bound holds
+for any hub and is nearly exact for near copies. Between two roots the nearest pair is verified first, and all
+other pairs where that one fails. So a large group gives no square of candidates, and no link that could connect two groups is left out.
 
-The shingles of those texts that have a candidate are made once, in one pass over the texts.
+The shingles of those texts that have a candidate are made once: those of stars first, the others with the other pairs.
 
 Edge cases: a null text counts as empty, and texts without words are copies of each other; fewer words than a shingle
 are one shingle; rows of one id and text are one, rows of one id and other texts are not; a row without an
@@ -43,9 +44,9 @@ from corvane.llm.simhash_dedup import SEED, shingle_bounds
 WIDTH, SIMILARITY, HOT, ROUNDS, DEVIATIONS = 5, 0.8, 32, 2, 1.65
 #: shingles whose bits are counted at once: their counts fit 16 bits
 STEP = 1 << 14
-#: words of the bitmap of a star member's shingles that its pivot lacks
+#: words of the two bitmaps of a star member: its shingles that its hub lacks, and the hub's that it lacks
 REST = 8
-RESTS = [f"r{k}" for k in range(REST)]
+RESTS, LACKS = [f"r{k}" for k in range(REST)], [f"m{k}" for k in range(REST)]
 
 
 class Layout(NamedTuple):
@@ -156,7 +157,7 @@ def _first(layout: Layout) -> str:
 
 
 def candidate_stars(nodes: DataFrame, count: int, layout: Layout, scratch: Scratch, radius: int) -> DataFrame:
-    """(node, pivot) of members of hot buckets within the radius of a pivot; a pivot is its own."""
+    """(node, pivot, hub) of members of hot buckets within the radius of a pivot; a pivot is its own."""
     words = [f"w{k}" for k in range(layout.words)]
     entries = nodes.select("node", F.expr(f"inline({_keys(layout)})"))
     hot = max(HOT, 4 * count >> layout.bits)  # four times what chance gives
@@ -168,19 +169,23 @@ def candidate_stars(nodes: DataFrame, count: int, layout: Layout, scratch: Scrat
         left = held if stars is None else held.join(stars.select("node"), "node", "left_anti")
         pivots = left.join(weights, "node").groupBy("seg", "key").agg(F.max_by(F.struct("node", "weight", *words), F.struct("weight", "node")).alias("p"))
         pivots = pivots.select("seg", "key", F.col("p.node").alias("pivot"), F.col("p.weight").alias("weight"), *[F.col(f"p.{w}").alias(w) for w in words])
+        if not r:
+            heavy = held.select("seg", "key", "node").join(pivots.select("seg", "key", "pivot", "weight"), ["seg", "key"])
+            hubs = scratch.put(heavy.groupBy("node").agg(F.max_by("pivot", F.struct("weight", "pivot")).alias("hub")), "hubs")
         near = left.alias("e").join(pivots.alias("p"), ["seg", "key"]).where(_distance(layout, "e", "p") <= radius)
         found = scratch.put(near.groupBy("e.node").agg(F.max_by("p.pivot", F.struct("p.weight", "p.pivot")).alias("pivot")), f"stars{r}")
         stars = found if stars is None else stars.union(found)
     scratch.drop("hot", "sizes", "weights")
-    return stars
+    above = hubs.select(F.col("node").alias("hub"), F.col("hub").alias("above"))
+    return stars.join(hubs.join(above, "hub").select("node", F.col("above").alias("hub")), "node")
 
 
 def candidate_pairs(tagged: DataFrame, layout: Layout, radius: int, tell: str) -> DataFrame:
-    """(a, b, far) of nodes within the radius for which `tell`, over q and t, holds; each pair once."""
+    """(a, b, far, fa, fb) of nodes within the radius for which `tell`, over q and t, holds, and their roots in order; each pair once."""
     asked, held = tagged.select("*", F.expr(f"inline({_balls(layout)})")).alias("q"), tagged.select("*", F.expr(f"inline({_keys(layout)})")).alias("t")
     far = _distance(layout, "q", "t")
     met = asked.join(held, F.expr(f"q.seg = t.seg AND q.key = t.key AND (NOT q.own OR q.node < t.node) AND {tell}") & (far <= radius) & F.expr(_first(layout)))
-    return met.select(F.col("q.node").alias("a"), F.col("t.node").alias("b"), far.alias("far"))
+    return met.select(F.col("q.node").alias("a"), F.col("t.node").alias("b"), far.alias("far"), F.least("q.root", "t.root").alias("fa"), F.greatest("q.root", "t.root").alias("fb"))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, count: int, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -214,29 +219,46 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def spokes_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, similarity, size, common, r0, ...) of members and pivots: a's shingles, those that b has, and a bitmap of the others."""
+    """(a, b, similarity, size, common, r0, ..., m0, ...): a's shingles, those that b has, and bitmaps of a's that b lacks and b's that a lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, maps = [], np.zeros((b.num_rows, 64 * REST), bool)
+            rows, maps = [], np.zeros((b.num_rows, 128 * REST), bool)
             for k, (x, y) in enumerate(_both(b)):
                 own = np.isin(x, y, assume_unique=True)
-                maps[k, (x[~own] % np.uint64(64 * REST)).astype(np.int64)] = True
-                rows.append((similarity_of(x, y), len(x), int(own.sum())))
+                for at, only in ((0, x[~own]), (64 * REST, np.setdiff1d(y, x, assume_unique=True))):
+                    maps[k, at + (only % np.uint64(64 * REST)).astype(np.int64)] = True
+                rows.append((similarity_of(x, y), len(x), int(own.sum()), len(y)))
             bits = np.packbits(maps, axis=1, bitorder="little").view(np.int64)
-            cols = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *(pa.array(bits[:, k]) for k in range(REST))], ["a", "b", "similarity", "size", "common", *RESTS]
-            )
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            made = [pa.array(cols[0], pa.float64()), *(pa.array(c, pa.int64()) for c in cols[1:]), *(pa.array(bits[:, k]) for k in range(2 * REST))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["a", "b", "similarity", "size", "common", "whole", *RESTS, *LACKS])
 
-    return _with_sets(pairs, sets).mapInArrow(run, f"a bigint, b bigint, similarity double, size bigint, common bigint, {', '.join(f'{r} bigint' for r in RESTS)}")
+    return _with_sets(pairs, sets).mapInArrow(run, f"a bigint, b bigint, similarity double, size bigint, common bigint, whole bigint, {', '.join(f'{r} bigint' for r in RESTS + LACKS)}")
 
 
 def _possible(similarity: float) -> str:
-    """Whether q and t of one star can be that similar: they share what the pivot has too, and of the rest nothing unless their bitmaps meet."""
-    need, shared = f"{similarity / (1 + similarity)} * (q.size + t.size)", "least(q.common, t.common)"
-    meet = " OR ".join(f"(q.{r} & t.{r}) <> 0" for r in RESTS)
-    return f"({shared} >= {need} OR {shared} + least(q.size - q.common, t.size - t.common) >= {need} AND ({meet}))"
+    """Whether q and t of one hub can be that similar, by the most shingles that they can share.
+
+    A set bit stands for one shingle at least: the hub's that one of the two lacks are no fewer than the bits of both maps, and of
+    the shingles that the hub lacks each has as many alone, at least, as it has bits that the other has not.
+    """
+    bits = lambda form, names: " + ".join(f"bit_count({form.format(r=r)})" for r in names)
+    of_hub = f"least(q.common, t.common, q.whole - ({bits('q.{r} | t.{r}', LACKS)}))"
+    others = f"least(q.size - q.common - ({bits('q.{r} & ~t.{r}', RESTS)}), t.size - t.common - ({bits('t.{r} & ~q.{r}', RESTS)}))"
+    return f"({of_hub} + {others} >= {similarity / (1 + similarity)} * (q.size + t.size))"
+
+
+def _rooted(tagged: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """`tagged` with the root of each node in what the links connect."""
+    roots = connected_components(links, scratch).withColumnRenamed("node", "member")
+    return tagged.join(roots, F.col("node") == F.col("member"), "left").drop("member").withColumn("root", F.coalesce("root", "node"))
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """(fa, fb, a, b, n): the nearest pair of each two roots, and the number of their pairs."""
+    near = pairs.groupBy("fa", "fb").agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("p"), F.count("*").alias("n"))
+    return near.select("fa", "fb", "p.*", "n")
 
 
 def wide_links(nodes: DataFrame, docs: DataFrame, scratch: Scratch, similarity: float, layout: Layout, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -244,29 +266,27 @@ def wide_links(nodes: DataFrame, docs: DataFrame, scratch: Scratch, similarity:
     words, radius, count = [f"w{k}" for k in range(layout.words)], radius_of(similarity, layout.words), nodes.count()
     enough = similarity - 1e-9
     stars = candidate_stars(nodes, count, layout, scratch, radius)
-    tagged = scratch.put(nodes.join(stars, "node", "left").select("node", *words, F.coalesce("pivot", "node").alias("pivot")), "tagged")
-    across = scratch.put(candidate_pairs(tagged, layout, radius, "q.pivot <> t.pivot"), "across")
-    spokes = stars.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    ends = across.select("a", "b").union(spokes).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    starred = scratch.put(nodes.join(stars, "node").select("node", "key", "pivot", "hub"), "starred")
+    sets = scratch.put(shingle_sets(docs, starred.select("key", "node"), starred.count(), width, id_col, text_col), "sets")
+    asked = starred.select(F.col("node").alias("a"), F.col("hub").alias("b")).union(starred.select("node", "pivot")).distinct()
+    spokes = scratch.put(spokes_of(asked, sets), "spokes")
+    links = spokes.where((F.col("similarity") >= enough) & (F.col("a") != F.col("b"))).select("a", "b")
+    tagged = nodes.join(starred.select("node", "hub"), "node", "left").select("node", *words, F.coalesce("hub", "node").alias("hub"))
+    tagged = scratch.put(_rooted(tagged, links, scratch), "tagged")
+    across = scratch.put(candidate_pairs(tagged, layout, radius, "q.hub <> t.hub AND q.root <> t.root"), "across")
+    ends = across.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(starred.select("node"), "node", "left_anti")
     wanted = scratch.put(nodes.join(ends, "node", "left_semi").select("key", "node"), "wanted")
-    sets = scratch.put(shingle_sets(docs, wanted, wanted.count(), width, id_col, text_col), "sets")
-    spokes = scratch.put(spokes_of(spokes, sets), "spokes")
-    behind = spokes.where(F.col("similarity") >= enough).select(F.col("a").alias("node"), F.col("b").alias("front"))
-    # within a star: pairs with a member that is not similar to the pivot, as far as the two can be similar
-    inside = tagged.join(spokes.select(F.col("a").alias("node"), "similarity", "size", "common", *RESTS), "node")
-    tell = f"q.pivot = t.pivot AND least(q.similarity, t.similarity) < {enough} AND {_possible(enough)}"
-    pairs = across.union(candidate_pairs(inside, layout, radius, tell))
-    front = lambda end: behind.select(F.col("node").alias(end), F.col("front").alias(f"{end}_front"))
-    pairs = pairs.join(front("a"), "a", "left").join(front("b"), "b", "left").select("a", "b", "far", F.coalesce("a_front", "a").alias("fa"), F.coalesce("b_front", "b").alias("fb")).where("fa <> fb")
-    pairs = scratch.put(pairs.select("a", "b", "far", F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb")), "pairs")
-    nearest = pairs.groupBy("fa", "fb").agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("p"), F.count("*").alias("n"))
-    nearest = scratch.put(nearest.select("fa", "fb", "p.*", "n"), "nearest")
+    sets = sets.union(scratch.put(shingle_sets(docs, wanted, wanted.count(), width, id_col, text_col), "more"))
+    # of one hub: pairs that can be similar
+    inside = tagged.join(spokes.select(F.col("a").alias("node"), F.col("b").alias("hub"), "size", "common", "whole", *RESTS, *LACKS), ["node", "hub"])
+    pairs = scratch.put(across.union(candidate_pairs(inside, layout, radius, f"q.hub = t.hub AND q.root <> t.root AND {_possible(enough)}")), "pairs")
+    nearest = scratch.put(_nearest(pairs), "nearest")
     first = scratch.put(similarities(nearest, sets).where(F.col("similarity") >= enough).select("a", "b"), "first")
     failed = nearest.where("n > 1").join(first, ["a", "b"], "left_anti")
     rest = pairs.join(failed.select("fa", "fb"), ["fa", "fb"], "left_semi").join(failed.select("a", "b"), ["a", "b"], "left_anti")
     second = similarities(rest, sets).where(F.col("similarity") >= enough).select("a", "b")
-    edges = scratch.put(behind.select(F.col("node").alias("a"), F.col("front").alias("b")).union(first).union(second), "edges")
-    scratch.drop("tagged", "across", "wanted", "sets", "spokes", "pairs", "nearest", "first", *[f"stars{r}" for r in range(ROUNDS)])
+    edges = scratch.put(links.union(first).union(second), "edges")
+    scratch.drop("starred", "tagged", "across", "wanted", "sets", "more", "spokes", "pairs", "nearest", "first", "hubs", *[f"stars{r}" for r in range(ROUNDS)])
     return edges
 
 
