@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -116,17 +117,26 @@ class Passages:
             yield a, b, int(ends[a] - self.sizes[a]), int(ends[b - 1])
 
     def times(self, basis: np.ndarray, a: int, b: int, x: int, y: int) -> np.ndarray:
-        first = np.cumsum(self.sizes[a:b]) - self.sizes[a:b]
-        return np.add.reduceat(basis[self.terms[x:y]] * self.values[x:y, None], first, axis=0)
+        """The rows from a to b, of the terms from x to y, times the basis: the first terms of all rows, then the second ones, the longest rows first."""
+        sizes, terms, values = self.sizes[a:b], self.terms[x:y], self.values[x:y, None]
+        order = np.argsort(-sizes, kind="stable")
+        first, longer = (np.cumsum(sizes) - sizes)[order], np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=1)), side="left")
+        out = basis[terms[first]] * values[first]
+        for k, n in enumerate(longer.tolist()[1:], 1):  # n rows have a term k
+            out[:n] += basis[terms[first[:n] + k]] * values[first[:n] + k]
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
     def gram(self, basis: np.ndarray) -> np.ndarray:
         """AᵀA times the basis, for these rows A."""
         out = np.zeros(basis.shape, np.float64)
         for a, b, x, y in self.chunks():
-            made = np.repeat(self.times(basis, a, b, x, y), self.sizes[a:b], axis=0) * self.values[x:y, None]
             order = np.argsort(self.terms[x:y], kind="stable")
+            row = np.repeat(np.arange(b - a), self.sizes[a:b])[order]
+            made = self.times(basis, a, b, x, y)[row] * self.values[x:y, None][order]
             names, first = np.unique(self.terms[x:y][order], return_index=True)
-            out[names] += np.add.reduceat(made[order], first, axis=0)
+            out[names] += np.add.reduceat(made, first, axis=0)
         alone, n = np.unique(self.ones[2], return_counts=True)
         out[alone] += n[:, None] * basis[alone]
         return out
@@ -138,7 +148,8 @@ def _sequences(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str, text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
         for b in batches:
-            found = [np.array([get(w, 0) for w in words(x.as_py())], "<u4").tobytes() for x in b.column(1)]
+            texts = (words(x.as_py()) for x in b.column(1))
+            found = [np.fromiter(map(get, x, repeat(0)), "<u4", len(x)).tobytes() for x in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["id", "words"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -238,7 +249,10 @@ def best_window(text: np.ndarray, low: int, high: int, item: np.ndarray, has: np
     """
     size, words = len(item) + -(-len(item) // 5), item.tolist()
     part = text[low:high]
-    before = np.concatenate(([0], np.cumsum(has[part])))
+    own = has[part]
+    if np.count_nonzero(own) < PARAPHRASE * len(item):
+        return 0.0, low, False
+    before = np.concatenate(([0], np.cumsum(own)))
     held = before[size:] - before[: len(before) - size] if len(part) > size else before[-1:]  # an upper bound for each window
     most = held.max(initial=0)
     if most < PARAPHRASE * len(item) or most < COPY * len(item) and (not len(answer) or _find(part, answer) < 0):
